@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from vectrail.llm import byte_bpe
+from vectrail.llm import byte_bpe, exact_topk, license_scan
 
 QUERIES = {
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_exact_topk": exact_topk.op9_exact_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_topk": exact_topk.OP9_SQL,
+}

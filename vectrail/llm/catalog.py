@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vectrail.llm import byte_bpe, exact_topk, license_scan
+from vectrail.llm import byte_bpe, exact_topk, license_scan, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_exact_topk": exact_topk.op9_exact_topk,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vectrail.llm import byte_bpe, exact_topk, license_scan, simhash
+from vectrail.llm import byte_bpe, decontaminate, exact_topk, license_scan, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_exact_topk": exact_topk.op9_exact_topk,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vectrail.llm import byte_bpe, decontaminate, exact_topk, license_scan, simhash
+from vectrail.llm import byte_bpe, decontaminate, exact_topk, language_id, license_scan, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_language_id": language_id.op5_language_id,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_exact_topk": exact_topk.op9_exact_topk,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vectrail.llm import byte_bpe, decontaminate, exact_topk, language_id, license_scan, simhash, toxicity
+from vectrail.llm import byte_bpe, decontaminate, exact_topk, language_id, license_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op7_license_scan": license_scan.op7_license_scan,

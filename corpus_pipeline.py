@@ -1,18 +1,44 @@
-"""Documents through the corpus stages, one after the other."""
+"""Documents through the corpus stages, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of
+documents; the last returns their encodings. Toxic documents go; lines that an earlier document holds
+are taken out of a text, whose row stays; of SimHash groups the document of the smallest doc_id stays;
+documents that hold a benchmark item go. Rows without doc_id pass the stages that judge by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import byte_bpe, common
+from vectrail.llm import byte_bpe, common, decontaminate, line_dedup, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
-def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, byte_bpe.vocabulary_path())
 
 
 STAGES = [
-    ("byte_bpe", byte_bpe_stage),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("byte_bpe", encode),
 ]
 
 ORACLE_SQL = None

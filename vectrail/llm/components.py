@@ -1,4 +1,4 @@
-"""Connected components of a graph of integer nodes, by alternating large and small stars."""
+"""Connected components of a graph whose nodes are of any type that has an order, by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     edges as they were ends the search; the number of rounds follows the logarithm of the longest path.
     """
     spark = edges.sparkSession
-    lower = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
+    lower = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     path = common.written(lower.distinct(), "edges")
     seen = None
     for _ in range(rounds):

@@ -45,11 +45,13 @@ def nearest_with_sentinel(corpus: DataFrame, key, k: int, where: Column, measure
 
 def pairwise(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     """Matrix of distances (cosine: similarities), each from its own differences, so that equal rows tie exactly."""
-    if measure == "cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :])
     out = np.empty((len(a), len(b)))
+    size = np.sqrt((b * b).sum(axis=1))
     for i, row in enumerate(a):
+        if measure == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[i] = (b * row).sum(axis=1) / (np.sqrt((row * row).sum()) * size)
+            continue
         d = b - row
         out[i] = np.sqrt((d * d).sum(axis=1)) if measure == "euclidean" else np.abs(d).sum(axis=1) if measure == "manhattan" else np.cbrt((np.abs(d) ** 3).sum(axis=1))
     return out

@@ -1,6 +1,5 @@
 """Operators against numpy and hand-made cases."""
 
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

@@ -20,6 +20,7 @@ rows give equal results; other columns are ignored.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 import re
 from collections import Counter
@@ -56,20 +57,25 @@ class Model:
     slope: float
     offset: float
 
+    @functools.cached_property
+    def gate(self) -> frozenset[str]:
+        """First characters of all scored features: words that begin otherwise need no look."""
+        return frozenset(f[: min(STEMS)] for f in self.scores)
+
     def score_of(self, word: str) -> float:
         return max((self.scores.get(f, 0.0) for f in features(word)), default=0.0)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """First word, last word and score of each maximal segment, in order."""
-        known = {w: s for w in set(words) if (s := self.score_of(w)) > 0}
-        if not known:
-            return []
+        gate, n = self.gate, min(STEMS)
+        seen = [i for i, w in enumerate(words) if w[:n] in gate]
+        known = {w: self.score_of(w) for w in {words[i] for i in seen}}
         # Parallel stacks: first and last word, sums before and behind, and the last entry with a smaller sum before.
         first, last, low, high, link = [], [], [], [], []
         total, at = 0.0, -1
-        for i, w in enumerate(words):
-            s = known.get(w)
-            if s is None:
+        for i in seen:
+            s = known[words[i]]
+            if s <= 0:
                 continue
             total -= DRIFT * (i - at - 1)
             start, before, total, at = i, total, total + s, i
@@ -96,16 +102,19 @@ class Model:
         found = [(a, b, s, n * math.exp(-self.decay * s)) for a, b, s in self.segments(words)]
         return [x for x in found if x[3] < E_MOST]
 
-    def evidence(self, words: list[str]) -> float:
-        """Logarithm of how unlikely the significant segments are together; below zero if there are none."""
-        size = math.log(SEARCH_SPACE * max(1, len(words)))
-        found = self.passages(words)
+    def evidence(self, found: list[tuple[int, int, float, float]], n: int) -> float:
+        """Logarithm of how unlikely the significant segments of n words are together; not above zero if there are none."""
+        size = math.log(SEARCH_SPACE * max(1, n))
         if not found:
             return min(0.0, -size)
         return sum(self.decay * s - size for _, _, s, _ in found) + math.lgamma(len(found) + 1)
 
-    def probability(self, words: list[str]) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.slope * math.log1p(max(0.0, self.evidence(words))) + self.offset))))
+    def judged(self, text: str) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """Probability and significant passages of a text."""
+        words = words_of(text)
+        found = self.passages(words)
+        x = self.slope * math.log1p(max(0.0, self.evidence(found, len(words)))) + self.offset
+        return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, x)))), found
 
 
 def remainder(id_col: Column, of: int) -> Column:
@@ -192,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([draft.evidence(words_of(t.as_py() or "")) for t in b.column("text")], pa.float64()), b.column("toxic")], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([draft.evidence(draft.passages(w), len(w)) for w in (words_of(t.as_py() or "") for t in b.column("text"))], pa.float64()), b.column("toxic")], names=["x", "toxic"])
 
     seen = sample.select("text", "toxic").mapInArrow(run, "x double, toxic int").collect()  # train_docs rows at most
     x = np.log1p(np.maximum(0.0, np.array([r.x for r in seen])))
@@ -211,9 +220,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             scores, spans = [], []
             for t in b.column("text"):
-                words = words_of(t.as_py() or "")
-                scores.append(m.probability(words))
-                spans.append([dict(zip(("first", "last", "score", "expected"), p)) for p in m.passages(words)])
+                chance, found = m.judged(t.as_py() or "")
+                scores.append(chance)
+                spans.append([dict(zip(("first", "last", "score", "expected"), p)) for p in found])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "passages"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
@@ -225,7 +234,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([held.value.probability(words_of(t.as_py() or "")) < 0.5 for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([held.value.judged(t.as_py() or "")[0] < 0.5 for t in b.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -59,7 +59,12 @@ def texts(column: pa.Array, most: int = 8_000_000):
         yield run
 
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Enough partitions for Python work on a table that came in few files."""
-    want = parts or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() * 2 < want else df
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt out evenly if it is so small and in so few files that most cores would idle in Python work."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size // part >= cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)

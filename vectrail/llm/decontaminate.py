@@ -141,7 +141,7 @@ def windows(df: DataFrame, id_col: str, text: str, sizes: tuple[int, ...] | None
                     kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names=["id", "words", "size", "at", "hash", "slots", "fills"])
 
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text).mapInArrow(run, SCHEMA)
+    return common.spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text)).mapInArrow(run, SCHEMA)
 
 
 def judged(shared: list[dict], words: int) -> tuple[float, bool]:

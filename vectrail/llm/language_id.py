@@ -233,7 +233,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", with_words: bool =
             cols = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(words, pa.list_(pa.string()))] if with_words else []), names=["doc_id", "lang_pred", "score", *(["words"] if with_words else [])])
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, schema)
+    return common.spread(docs.select(F.col("doc_id").cast("long"), text)).mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

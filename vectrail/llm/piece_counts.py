@@ -117,7 +117,7 @@ def piece_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             rows = [r for part in common.texts(b.column(1), 4_000_000) for r in count(automaton(path), part)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], names=["doc_id", "n_words", "n_pieces", "most_pieces"])
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id bigint, n_words bigint, n_pieces bigint, most_pieces bigint")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), text)).mapInArrow(run, "doc_id bigint, n_words bigint, n_pieces bigint, most_pieces bigint")
 
 
 def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             fps = [fingerprint(t) for part in common.texts(b.column(1)) for t in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, fp bigint")
+    return common.spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 @functools.lru_cache(maxsize=1)

@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 spans.append([dict(zip(("first", "last", "score", "expected"), p)) for p in found])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -236,7 +236,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([held.value.judged(t.as_py() or "")[0] < 0.5 for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.spread(docs).mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df as it is, or dealt out evenly if it is so small and in so few files that most cores would idle in Python work."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if size // part >= cores or len(df.inputFiles()) >= cores:
         return df

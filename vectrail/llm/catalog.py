@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op9_exact_topk": exact_topk.OP9_SQL,
 }

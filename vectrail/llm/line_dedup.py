@@ -142,3 +142,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's edit distance counts bytes: these letters become one byte each (control characters that no line holds).
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü"
+_BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 31)])
+_HELD = " OR ".join(f"contains(b.c, a.c[{i} * (a.n // 3) + greatest(0, {i} - 3 + a.n % 3) + 1 : {i} * (a.n // 3) + greatest(0, {i} - 3 + a.n % 3) + a.n // 3 + CASE WHEN {i} >= 3 - a.n % 3 THEN 1 ELSE 0 END])" for i in range(3))
+OP6_SQL = f"""
+WITH RECURSIVE parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, trim(p[i], ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+first AS (SELECT line, length(line) AS n, min({{'d': doc_id, 'l': line_no}}) AS place FROM lines GROUP BY line),
+long AS (SELECT line, n, place, translate(line, '{_LETTERS}', {_BYTES}) AS c FROM first WHERE n >= {LEAST}),
+pairs AS MATERIALIZED (SELECT a.line AS a, b.line AS b FROM long a JOIN long b ON b.n >= a.n AND b.n <= a.n + 2 AND (a.n < b.n OR a.line < b.line) AND ({_HELD}) WHERE levenshtein(a.c, b.c) <= {EDITS}),
+sides AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM sides UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y),
+named AS (SELECT x AS line, min(place) AS class FROM reach JOIN first ON first.line = y GROUP BY x),
+counted AS (SELECT a AS line, count(*) AS n_links FROM sides GROUP BY a)
+SELECT doc_id, line_no, CAST(first.n AS INTEGER) AS n_chars, coalesce(class, place).d AS class_doc_id, coalesce(class, place).l AS class_line_no,
+       CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, first.n < {LEAST} OR coalesce(class, place) = {{'d': doc_id, 'l': line_no}} AS keep
+FROM lines JOIN first USING (line) LEFT JOIN named USING (line) LEFT JOIN counted USING (line)
+"""

@@ -60,6 +60,8 @@ def pairwise(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
 def _blocks(rows: DataFrame, id_col: str, features: str, name: str, blocks: int) -> DataFrame:
     """block, ids and vectors packed together: BLOCK vectors or so in a row."""
 
+    kind, arrow = ("string", pa.string()) if rows.schema[id_col].dataType.simpleString() == "string" else ("bigint", pa.int64())
+
     def pack(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         for g in groups:
@@ -74,11 +76,11 @@ def _blocks(rows: DataFrame, id_col: str, features: str, name: str, blocks: int)
 
     def packed(block: int, ids: list, vs: list) -> pa.RecordBatch:
         raw = np.asarray(vs, dtype=np.float64)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([raw.tobytes()], pa.binary())], names=["block", f"{name}_ids", f"{name}_raw"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids], pa.list_(arrow)), pa.array([raw.tobytes()], pa.binary())], names=["block", f"{name}_ids", f"{name}_raw"])
 
     part = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    held = rows.where(F.col(features).isNotNull()).select(part.alias("block"), F.col(id_col).cast("long"), features)
-    return held.repartition("block").mapInArrow(pack, f"block int, {name}_ids array<bigint>, {name}_raw binary")
+    held = rows.where(F.col(features).isNotNull()).select(part.alias("block"), F.col(id_col).cast(kind), features)
+    return held.repartition("block").mapInArrow(pack, f"block int, {name}_ids array<{kind}>, {name}_raw binary")
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, measure: str = "euclidean", id_col: str = "image_id", features: str = "features") -> DataFrame:
@@ -88,6 +90,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, measure: str = "euclidean
     query go on, and a window with a group limit merges them. Ties go to the smaller id.
     """
     _, ascending = vectors.measure(measure)
+    kind = "string" if corpus.schema[id_col].dataType.simpleString() == "string" else "bigint"
     corpus_blocks = max(1, -(-corpus.count() // BLOCK))
     query_blocks = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // BLOCK))
     left = _blocks(queries, id_col, features, "q", query_blocks).select("q_ids", "q_raw", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("block"))
@@ -105,7 +108,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, measure: str = "euclidean
                     n = best.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[at : at + 256], n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(d, best, axis=1).ravel())], names=["src", "dst", "distance"])
 
-    pairs = left.join(right, "block").select("q_ids", "q_raw", "c_ids", "c_raw").mapInArrow(run, "src bigint, dst bigint, distance double")
+    pairs = left.join(right, "block").select("q_ids", "q_raw", "c_ids", "c_raw").mapInArrow(run, f"src {kind}, dst {kind}, distance double")
     order = F.col("distance").asc() if ascending else F.col("distance").desc()
     rank = F.row_number().over(Window.partitionBy("src").orderBy(order, "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors
+from vectrail.operators import reduce
 
 
 def means(rows: DataFrame, group: str = "subject", features: str = "features") -> DataFrame:
@@ -22,6 +23,22 @@ def most_similar(rows: DataFrame, subject, top: int = 3, group: str = "subject")
     return scored.select(group, vectors.inverse_similarity(vectors.l2(F.col("features"), F.col("query"))).alias("similarity")).orderBy(F.desc("similarity"), group).limit(top)
 
 
+def reduced_means(rows: DataFrame, method: str, k: int, group: str = "subject") -> DataFrame:
+    """Mean vectors of all subjects, reduced together."""
+    m = means(rows, group)
+    reduced, _ = reduce.reduce(m.withColumnRenamed(group, "image_id"), method, k)
+    return reduced.withColumnRenamed("image_id", group)
+
+
+def grid(rows: DataFrame, subject, methods: tuple[str, ...], sizes: tuple[int, ...], group: str = "subject") -> DataFrame:
+    """method, k and the most similar subjects for every combination."""
+    parts = [most_similar(reduced_means(rows, m, k, group), subject, group=group).select(F.lit(m).alias("method"), F.lit(k).alias("k"), "*") for m in methods for k in sizes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def matrix(rows: DataFrame, compat: bool = False, group: str = "subject") -> DataFrame:
     """subject_a, subject_b, similarity: one half by a join on a < b, the other mirrored, 100 on the diagonal.
     compat: similarity of the last components alone."""

@@ -102,6 +102,11 @@ def subject_nmf(spark, d):
     return _rounded(reduced.select("image_id", F.posexplode("features").alias("component", "weight")), "weight", 4)
 
 
+def subject_grid(spark, d):
+    """Most similar subjects in several latent spaces."""
+    return _rounded(subjects.grid(images(spark, d), 0, ("svd", "pca"), (3, 5)), "similarity", 4)
+
+
 def lda_topics(spark, d):
     """Topic shares of bags of words; each row sums to one."""
     rows = features.bag_vectors(images(spark, d).withColumn("features", F.transform("features", lambda x: x * 25)))
@@ -110,7 +115,7 @@ def lda_topics(spark, d):
 
 
 _NAMES = (
-    "svd_latent svd_fold_in svd_energy pca_scores pca_variance latent_search term_weights feature_term_weights top_latent_images best_latent_image nmf_latent metadata_nmf subject_nmf lda_topics"
+    "svd_latent svd_fold_in svd_energy pca_scores pca_variance latent_search term_weights feature_term_weights top_latent_images best_latent_image nmf_latent metadata_nmf subject_nmf subject_grid lda_topics"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 

@@ -92,3 +92,12 @@ def test_repeated_rows_and_nameless_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert d.classes(df).collect() == [] and d.without_repeats(df).collect() == []
+
+
+def test_versions_of_one_line(spark):
+    rng = random.Random(13)
+    head = "the beginning of this line stands in a great many versions of one and the same text"
+    lines = {edited(rng, f"{head} and ends {rng.choice(['soon', 'so', 'son', 'not'])} {rng.choice(['here', 'there', 'hero'])}", rng.choice([0, 1, 2])) for _ in range(60)}
+    docs = list(enumerate(sorted(lines)))
+    got = d.classes(frame(spark, docs)).collect()
+    assert {((r.doc_id, r.line_no), (r.class_doc_id, r.class_line_no), r.n_links, r.keep) for r in got} == slow(docs)

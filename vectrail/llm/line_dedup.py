@@ -10,8 +10,11 @@ which computes the band of width EDITS only.
 Only keys that two different lines share matter. A first pass sums up every key in a fixed-size state
 (partial sums before the shuffle, so a line that stands everywhere costs a row for each task), and the
 keys that are shared set bits in a table of fixed size. The second pass keeps lines with such a bit,
-each once, and joins those. A word signature in the join condition drops most pairs that have a segment
-in common but differ elsewhere. Lines with equal text are one line throughout.
+each once, and joins those on their keys. The join's condition compares a signature of the words, which
+most pairs with one segment in common do not pass, and then the edit distance, so it gives linked pairs
+only. Within a crowd of versions of one line that share a segment and have about one length, the
+comparisons (not the rows) still grow with the square of the crowd; skewed keys are split over tasks.
+Lines with equal text are one line throughout.
 
 Defined results: a null text has no lines, an empty text has one empty line; lines shorter than LEAST
 characters are linked to equal ones only and always kept; a class is named by its smallest (doc_id,
@@ -42,24 +45,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("*", F.length("line").alias("n_chars"), F.struct(F.xxhash64("line").alias("h"), F.hash("line").alias("g")).alias("k"))
 
 
-def segment(length: Column, i: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment i (from 0) of a line; later segments take the remainder."""
-    base, extra = F.floor(length / SEGMENTS).cast("int"), (length % SEGMENTS).cast("int")
-    return i * base + F.greatest(F.lit(0), i - (SEGMENTS - extra)) + 1, base + F.when(F.lit(i) >= SEGMENTS - extra, 1).otherwise(0)
-
-
-def keys(line: Column, n: Column) -> Column:
-    """Array of (key, own): keys of the line's own segments (own) and of the substrings that may be a segment of
-    a line with up to EDITS characters less."""
+def _places() -> list[tuple[int, int, int]]:
+    """(segment, characters that the other line has less, shift of the start) of all substrings that a line probes with."""
     found = []
     for less in range(EDITS + 1):
         for i in range(SEGMENTS):
-            start, size = segment(n - less, i)
             before, behind = i, EDITS - i  # edits that may lie on either side of the segment
-            for move in range(max(-before, less - behind), min(before, less + behind) + 1):
-                key = F.xxhash64(F.substring(line, start + move, size), F.lit(i), n - less)
-                found.append(F.struct(key.alias("key"), F.lit(less == 0 and move == 0).alias("own")))
-    return F.array(*found)
+            found += [(i, less, move) for move in range(max(-before, less - behind), min(before, less + behind) + 1)]
+    return found
+
+
+def with_keys(long: DataFrame) -> DataFrame:
+    """long with key and own, a row for each place: keys of the line's own segments (own) and of the substrings that
+    may be a segment of a line with up to EDITS characters less. A constant list is exploded and the key computed
+    from its numbers, so the generated code stays small enough to be compiled."""
+    params = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(move).alias("move")) for i, less, move in _places()])
+    rows = long.withColumn("p", F.explode(params)).withColumn("m", F.col("n_chars") - F.col("p.less"))
+    base, extra, i = F.floor(F.col("m") / SEGMENTS).cast("int"), (F.col("m") % SEGMENTS).cast("int"), F.col("p.i")  # later segments take the remainder
+    start = i * base + F.greatest(F.lit(0), i - (SEGMENTS - extra)) + 1 + F.col("p.move")
+    size = base + (i >= SEGMENTS - extra).cast("int")
+    key = F.xxhash64(F.substring(F.col("line"), start, size), i, F.col("m"))
+    return rows.select(*long.columns, key.alias("key"), ((F.col("p.less") == 0) & (F.col("p.move") == 0)).alias("own"))
 
 
 def signature(line: Column) -> Column:
@@ -84,7 +90,7 @@ def _bit(key: Column) -> tuple[Column, Column]:
 def shared_bits(long: DataFrame) -> DataFrame:
     """One row: an array of 2**TABLE_LOG / 64 numbers with the bits of all keys that two different lines share."""
     spark = long.sparkSession
-    each = long.select(F.col("k.h").alias("h"), F.explode(keys(F.col("line"), F.col("n_chars"))).alias("x")).select("h", "x.key", "x.own")
+    each = with_keys(long.select(F.col("k.h").alias("h"), "line", "n_chars")).select("h", "key", "own")
     shared = each.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("own").alias("own")).where("own and a != b")
     word, bit = _bit(F.col("key"))
     words = shared.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
@@ -97,18 +103,19 @@ def links(lines: DataFrame) -> DataFrame:
     """a, b: identities of different lines within EDITS edits, each pair once."""
     long = lines.where(F.col("n_chars") >= LEAST)
     bits = shared_bits(long).select("t").scalar()
-    word, bit = _bit(F.col("x.key"))
+    word, bit = _bit(F.col("key"))
     held = F.call_function("shiftrightunsigned", F.get(bits, word), bit).bitwiseAND(F.lit(1)) == 1
-    live = long.select("k", "line", "n_chars", F.explode(keys(F.col("line"), F.col("n_chars"))).alias("x")).where(held)
-    live = live.groupBy("k").agg(F.first("line").alias("line"), F.first("n_chars").alias("n"), F.collect_set("x").alias("keys"))
+    live = with_keys(long.select("k", "line", "n_chars")).where(held)
+    live = live.groupBy("k").agg(F.first("line").alias("line"), F.first("n_chars").alias("n"), F.collect_set(F.struct("key", "own")).alias("keys"))
     live = common.stored(live.withColumn("sig", signature(F.col("line"))), "live-lines")
     rows = live.select("k", "n", "sig", F.explode("keys").alias("x")).select("k", "n", "sig", "x.key", "x.own")
+    shared = rows.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
+    rows = rows.join(shared, "key").join(live.select("k", "line"), "k")
+    rows = common.stored(rows, "line-keys")
     own, probe = rows.where("own").alias("o"), rows.alias("p")
     different = (F.col("o.n") < F.col("p.n")) | ((F.col("o.n") == F.col("p.n")) & (F.col("o.k") < F.col("p.k")))
-    pairs = own.join(probe, (F.col("o.key") == F.col("p.key")) & different & _near(F.col("o.sig"), F.col("p.sig"))).select(F.col("o.k").alias("a"), F.col("p.k").alias("b")).distinct()
-    text = live.select("k", "line")
-    both = pairs.join(text.withColumnsRenamed({"k": "a", "line": "x"}), "a").join(text.withColumnsRenamed({"k": "b", "line": "y"}), "b")
-    return both.where(F.levenshtein("x", "y", EDITS) >= 0).select("a", "b")
+    linked = different & _near(F.col("o.sig"), F.col("p.sig")) & (F.levenshtein("o.line", "p.line", EDITS) >= 0)
+    return own.join(probe, (F.col("o.key") == F.col("p.key")) & linked).select(F.col("o.k").alias("a"), F.col("p.k").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of
 documents; the last returns their encodings. Toxic documents go; lines that an earlier document holds
-are taken out of a text, whose row stays; of SimHash groups the document of the smallest doc_id stays;
+are taken out of a text, whose row stays; of near copies (five-word Jaccard of 0.8 or more) the document of the smallest doc_id stays;
 documents that hold a benchmark item go. Rows without doc_id pass the stages that judge by id.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import byte_bpe, common, decontaminate, line_dedup, simhash, toxicity
+from vectrail.llm import byte_bpe, common, decontaminate, line_dedup, near_copies, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, near_copies.classes)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ doc_id; repeated rows keep one row each; rows without doc_id have no component;
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -161,9 +161,9 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, by: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
     """The rows of docs that name their component, each document once; rows without doc_id stay."""
-    found = common.stored(classes(docs), "simhash-classes")
+    found = common.stored(by(docs), "simhash-classes")
     others = found.where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():

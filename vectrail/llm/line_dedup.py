@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations alone.
 
 Lines (text between line feeds, without spaces, tabs and carriage returns at the ends) of LEAST characters
-or more are linked if EDITS insertions, deletions and replacements at most turn one into the other. A
+or more (the pipeline: all lines) are linked if EDITS insertions, deletions and replacements at most turn one into the other. A
 line that others probe is cut into EDITS + 1 segments; a linked line of the same or greater length holds
 one of them unchanged, at a place that the two lengths and the segment's number narrow to a few starts.
 Line and segment make a key, and lines that share a key are verified by the built-in edit distance,
@@ -99,9 +99,9 @@ def shared_bits(long: DataFrame) -> DataFrame:
     return common.stored(table.select(F.col("t.bits").alias("t")), "shared-bits")
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """a, b: identities of different lines within EDITS edits, each pair once."""
-    long = lines.where(F.col("n_chars") >= LEAST)
+def links(lines: DataFrame, least: int = LEAST) -> DataFrame:
+    """a, b: identities of different lines of least characters or more within EDITS edits, each pair once."""
+    long = lines.where(F.col("n_chars") >= least)
     bits = shared_bits(long).select("t").scalar()
     word, bit = _bit(F.col("key"))
     held = F.call_function("shiftrightunsigned", F.get(bits, word), bit).bitwiseAND(F.lit(1)) == 1
@@ -118,10 +118,12 @@ def links(lines: DataFrame) -> DataFrame:
     return own.join(probe, (F.col("o.key") == F.col("p.key")) & linked).select(F.col("o.k").alias("a"), F.col("p.k").alias("b")).distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n_chars, class_doc_id, class_line_no, n_links (different lines within EDITS), keep: a row for each line."""
+def classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, line_no, n_chars, class_doc_id, class_line_no, n_links (different lines within EDITS), keep: a row for each line.
+
+    With least 0 every line is compared, and shorter lines than EDITS + 1 have empty segments, which all hold."""
     lines = lines_of(docs)
-    found = common.stored(links(lines), "line-links")
+    found = common.stored(links(lines, least), "line-links")
     counts = found.select(F.col("a").alias("k")).unionAll(found.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
     named = components(found).select(F.col("node").alias("k"), "component")
     places = common.stored(lines.select("doc_id", "line_no", "n_chars", "k"), "lines")
@@ -131,13 +133,13 @@ def classes(docs: DataFrame) -> DataFrame:
     joined = places.join(first, "k").join(linked, "k", "left").withColumn("class", F.coalesce("class", "first"))
     return joined.select(
         "doc_id", "line_no", "n_chars", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        ((F.col("n_chars") < LEAST) | (F.struct("doc_id", "line_no") == F.col("class"))).alias("keep"),
+        ((F.col("n_chars") < least) | (F.struct("doc_id", "line_no") == F.col("class"))).alias("keep"),
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the lines that are not kept taken out of each text, and n_chars, if there, counted anew. No row goes."""
-    gone = classes(docs).where("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = classes(docs, least).where("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     parts = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))
     joined = docs.join(common.stored(gone, "lines-gone"), "doc_id", "left")

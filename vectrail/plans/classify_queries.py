@@ -84,7 +84,7 @@ def tree_training_accuracy(spark, d):
 
 
 def oneclass_svm(spark, d):
-    return classify.infer_label_one_class(images(spark, d).where("image_id < 200"), "palmar", 3).withColumn("decision", F.round("decision", 6))
+    return classify.infer_label_one_class(images(spark, d), "palmar", 3).withColumn("decision", F.round("decision", 6))
 
 
 def svm_feedback(spark, d):

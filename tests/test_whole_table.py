@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from vectrail.operators import classify
+from vectrail.plans import classify_queries
 from vectrail.sources.embeddings import images
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,3 +20,9 @@ def test_one_class_machine_is_fitted_on_all_rows(spark, monkeypatch):
     found = entry.queries()["oneclass_svm"](spark, FOLDER).collect()
     rows = images(spark, FOLDER)
     assert fitted == [rows.where("aspect_of_hand like '%palmar%' or image_id = 3").count()] and len(found) == 1
+
+
+def test_training_and_test_rows_hold_whole_vectors(spark):
+    whole = {r.image_id: r.features for r in images(spark, FOLDER).collect()}
+    train, test = classify_queries._halves(spark, FOLDER)
+    assert {r.image_id: r.features for r in train.unionByName(test).collect()} == whole

@@ -7,15 +7,21 @@ item, those of one alignment are kept together, and what stands in their slots m
 same value of the item always became the same value of the document, and different ones stayed
 different. A document holds an item if consistent windows cover enough of the item's words.
 
+Windows with fewer than LITERALS plain words would match anything by their template. Beside the template
+hash, every window has a hash of its very words (number words as digits, case does not matter), so that an
+item that is mostly numbers and names is still found word for word; an item of fewer than LITERALS words
+is only held by a text that has no other words.
+
 A document's windows are only sent to the join if a bit table of fixed size, made from the benchmark's
 hashes, has their bits; the table lets every benchmark window pass, so it loses none, whatever the
 benchmark's size. Whether the join broadcasts the benchmark side is left to the planner's size check.
+Texts are told apart by their MD5 digests, so equal texts are judged once and ids may be null or repeated.
 
-Defined results: case (outside names), punctuation and white space do not matter; a null text has no
-words and holds nothing; an item with fewer words than a window is one window; an item or window with
-fewer than LITERALS plain words is not searched, as it would match anything; texts are read whole;
-repeated rows and repeated passages give one result; rows without doc_id are left unjudged; an empty
-benchmark leaves every document clean; other columns are ignored.
+Defined results: case (outside names of changed questions), punctuation and white space do not matter; a
+null text has no words and holds nothing; an item with fewer words than a window is one window; an item
+without words is held by nothing; texts are read whole; repeated rows and repeated passages give one
+result; an item that repeats itself is covered at all its places; items without item_id count, under a
+null item_id; an empty benchmark leaves every document clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.llm import common
@@ -39,6 +45,8 @@ BITS, REMEMBERED = 1 << 20, 600_000
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg ounce ounces pound pounds ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh watt watts volt volts".split())
 
+DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
+
 _FIND = regex.compile(r"[^\W_]+|[.!?:\n]").findall
 PLAIN, STOP, NUMBER, UNIT, CAPITAL, NAME = range(6)
 _MARK = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>", 1)) for kind in (NUMBER, UNIT, NAME)}
@@ -63,14 +71,14 @@ class Reader:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.kinds = np.zeros(0, dtype=np.uint8)
 
-    def read(self, run: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, template hashes, kinds, and the text that each word is from."""
+    def read(self, run: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, template hashes, hashes of the very words, kinds, and the text that each word is from."""
         if len(self.place) > REMEMBERED:
             self.__init__()
         split = [_FIND(t) for t in run]
         new = list(set().union(*split).difference(self.place))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in new), np.uint64, len(new))])
+        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(DIGITS.get(x := w.lower(), x)) for w in new), np.uint64, len(new))])
         self.kinds = np.concatenate([self.kinds, np.fromiter(map(kind_of, new), np.uint8, len(new))])
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         flat = list(chain.from_iterable(split))
@@ -81,11 +89,12 @@ class Reader:
         before[np.r_[True, owner[1:] != owner[:-1]][: len(flat)]] = STOP
         kinds = np.where(kinds == CAPITAL, np.where(before == STOP, PLAIN, NAME), kinds)
         kinds = np.where((kinds == UNIT) & (before != NUMBER), PLAIN, kinds)
-        hashes = self.hashes[at]
+        own = self.hashes[at]
+        hashes = own.copy()
         for kind, mark in _MARK.items():
             hashes[kinds == kind] = mark
         keep = np.nonzero(kinds != STOP)[0]
-        return [flat[i] for i in keep.tolist()], hashes[keep], kinds[keep], owner[keep]
+        return [flat[i] for i in keep.tolist()], hashes[keep], own[keep], kinds[keep], owner[keep]
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -100,48 +109,58 @@ def bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(BITS)).astype(np.int64), (hashes // np.uint64(BITS) % np.uint64(BITS)).astype(np.int64)
 
 
-SCHEMA = "id bigint, words bigint, size int, at bigint, hash bigint, slots array<int>, fills array<string>"
+SCHEMA = "id binary, words bigint, size int, at bigint, hash bigint, very boolean, fills array<string>"
+VERY_WORDS = np.uint64(0xA5A5A5A5A5A5A5A5)
+
 
+def windows(texts: DataFrame, sizes: tuple[int, ...] | None = None, table=None) -> DataFrame:
+    """A row for each window of texts (id, text): place, hash, whether that is of the very words, and what fills its
+    slots (a document's windows of very words leave that out, as it is what fills the item's).
 
-def windows(df: DataFrame, id_col: str, text: str, sizes: tuple[int, ...] | None = None, table=None) -> DataFrame:
-    """A row for each window: place, hash, slots (by place in the window) and what fills them. sizes: of the
-    windows, each text's own if None; table: the bit table, which windows must pass."""
+    sizes and table: of a document's windows, the items' sizes and the bit table that windows must pass. Without
+    them the texts are items, each with windows of one size, at every place; of a document's equal windows one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for b in batches:
-            ids, base = np.asarray(b.column(0).fill_null(0)), 0
+            ids, base = b.column(0).to_pylist(), 0
             for part in common.texts(b.column(1)):
-                words, hashes, kinds, owner = reader.read(part)
+                words, hashes, own, kinds, owner = reader.read(part)
                 counts = np.bincount(owner, minlength=len(part))
                 starts = np.cumsum(counts) - counts
                 plain = np.r_[0, np.cumsum(kinds == PLAIN)]
                 rows: list[tuple] = []
                 for size in sizes or range(1, WINDOW + 1):
-                    h = window_hashes(hashes, size)
-                    if not len(h):
+                    if len(hashes) < size:
                         continue
-                    ok = owner[: len(h)] == owner[size - 1 :]
-                    ok &= plain[size:] - plain[: len(h)] >= LITERALS
+                    inside = owner[: len(owner) - size + 1] == owner[size - 1 :]
                     if sizes is None:
-                        ok &= np.minimum(counts, WINDOW)[owner[: len(h)]] == size
-                    if table is not None:
-                        one, two = bits_of(h)
-                        ok &= table.value[one] & table.value[two]
-                    seen = set()
-                    for i in np.nonzero(ok)[0].tolist():
-                        slots = [j for j in range(size) if kinds[i + j] != PLAIN]
-                        fills = tuple(words[i + j].lower() for j in slots)
-                        t = int(owner[i])
-                        if (t, int(h[i]), fills) not in seen:
-                            seen.add((t, int(h[i]), fills))
-                            rows.append((int(ids[base + t]), int(counts[t]), size, i - int(starts[t]), int(h[i].astype(np.int64)), slots, list(fills)))
+                        inside &= np.minimum(counts, WINDOW)[owner[: len(inside)]] == size
+                    elif size < LITERALS:
+                        inside &= counts[owner[: len(inside)]] == size
+                    for template in (True, False):
+                        if template:
+                            h, ok = window_hashes(hashes, size), inside & (plain[size:] - plain[: len(inside)] >= LITERALS)
+                        else:
+                            h, ok = window_hashes(own, size) ^ VERY_WORDS, inside
+                        if table is not None:
+                            one, two = bits_of(h)
+                            ok = ok & table.value[one] & table.value[two]
+                        seen = set()
+                        for i in np.nonzero(ok)[0].tolist():
+                            fills = tuple(DIGITS.get(x := words[j].lower(), x) for j in range(i, i + size) if kinds[j] != PLAIN) if template or table is None else ()
+                            t = int(owner[i])
+                            if sizes is not None:
+                                if (t, int(h[i]), fills) in seen:
+                                    continue
+                                seen.add((t, int(h[i]), fills))
+                            rows.append((ids[base + t], int(counts[t]), size, i - int(starts[t]), int(h[i].astype(np.int64)), not template, list(fills)))
                 base += len(part)
                 if rows:
-                    kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names=["id", "words", "size", "at", "hash", "slots", "fills"])
+                    kinds_ = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names=["id", "words", "size", "at", "hash", "very", "fills"])
 
-    return common.spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text)).mapInArrow(run, SCHEMA)
+    return common.spread(texts.select("id", "text")).mapInArrow(run, SCHEMA)
 
 
 def judged(shared: list[dict], words: int) -> tuple[float, bool]:
@@ -155,8 +174,8 @@ def judged(shared: list[dict], words: int) -> tuple[float, bool]:
     same = True
     for _, aligned in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
         f, b, mine, equal = dict(forth), dict(back), set(), True
-        for w in aligned:
-            pairs = list(zip(w["item_fills"], w["doc_fills"]))
+        for w in sorted(aligned, key=lambda w: (not w["very"], w["item_at"], w["doc_fills"])):
+            pairs = list(zip(w["item_fills"], w["item_fills"] if w["very"] else w["doc_fills"]))
             if all(f.get(x, y) == y and b.get(y, x) == x for x, y in pairs):
                 f.update(pairs)
                 b.update((y, x) for x, y in pairs)
@@ -177,31 +196,48 @@ def bit_table(found: DataFrame) -> np.ndarray:
     return table
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, covered, exact for every item that a document holds."""
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def held(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """id, item, covered, exact for every item that a text holds; id and item are digests of texts."""
     spark = docs.sparkSession
-    items = common.stored(windows(benchmark, "item_id", "text"), "benchmark-windows")
-    sizes = tuple(sorted(r[0] for r in items.select("size").distinct().collect())) or (WINDOW,)  # WINDOW sizes at most
-    table = spark.sparkContext.broadcast(bit_table(items))
-    mine = windows(docs, id_col, text, sizes, table).select(F.col("id").alias("doc_id"), "size", "hash", F.col("at").alias("doc_at"), F.col("fills").alias("doc_fills"))
-    theirs = items.select(F.col("id").alias("item_id"), "words", "size", "hash", F.col("at").alias("item_at"), F.col("fills").alias("item_fills"))
-    pairs = mine.join(theirs, ["size", "hash"]).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.collect_set(F.struct("doc_at", "item_at", "size", "doc_fills", "item_fills")).alias("shared"))
+    theirs = common.stored(windows(items.select(digest(F.col("text")).alias("id"), "text").dropDuplicates(["id"])), "benchmark-windows")
+    sizes = tuple(sorted(r[0] for r in theirs.select("size").distinct().collect())) or (WINDOW,)  # WINDOW sizes at most
+    table = spark.sparkContext.broadcast(bit_table(theirs))
+    mine = windows(docs.select(digest(F.col(text)).alias("id"), F.col(text).alias("text")), sizes, table)
+    mine = mine.select("id", "size", "hash", "very", F.col("at").alias("doc_at"), F.col("fills").alias("doc_fills"))
+    theirs = theirs.select(F.col("id").alias("item"), "words", "size", "hash", F.col("at").alias("item_at"), F.col("fills").alias("item_fills"))
+    pairs = mine.join(theirs, ["size", "hash"]).groupBy("id", "item").agg(F.max("words").alias("words"), F.collect_set(F.struct("doc_at", "item_at", "size", "very", "doc_fills", "item_fills")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [judged(s.as_py(), n) for s, n in zip(b.column("shared"), b.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.bool_())], names=["doc_id", "item_id", "covered", "exact"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("item"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.bool_())], names=["id", "item", "covered", "exact"])
+
+    return pairs.mapInArrow(run, "id binary, item binary, covered double, exact boolean").where(F.col("covered") >= COVER)
 
-    return pairs.mapInArrow(run, "doc_id bigint, item_id bigint, covered double, exact boolean").where(F.col("covered") >= COVER)
+
+def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, item_id, covered, exact for every item that a document holds; for ids that several texts share, the greatest cover."""
+    found = held(docs, benchmark, text)
+    items = benchmark.select(digest(F.col("text")).alias("item"), F.col("item_id").cast("long").alias("item_id")).distinct()
+    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text)).alias("id"))
+    each = mine.join(found.join(items, "item"), "id")
+    return each.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.bool_or("exact").alias("exact"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item."""
-    return docs.join(contained(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose text holds no item."""
+    gone = held(docs, benchmark).select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, digest(F.col("text")) == F.col("__id"), "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, contaminated, items (sorted list of item_id), covered (largest share of an item), exact, for each document."""
-    docs = common.table(spark, sf_dir, "documents")
-    found = contained(docs, common.table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"), F.bool_and("exact").alias("exact"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"), "exact")
+    """doc_id, contaminated, items (sorted list of item_id, without nulls), covered (largest share of an item), exact, for each document."""
+    docs, benchmark = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    items = benchmark.select(digest(F.col("text")).alias("item"), "item_id").distinct()
+    found = held(docs, benchmark).join(items, "item").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"), F.bool_and("exact").alias("exact"))
+    rows = docs.select("doc_id", digest(F.col("text")).alias("id")).join(found, "id", "left")
+    return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"), "exact")

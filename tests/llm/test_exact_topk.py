@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def slow(rows, k, every):
     out = set()
     for q, a in held:
         if q % every == 0:
-            scores = sorted({(-sum(x * y for x, y in zip(a, b)), i) for i, b in held if i != q})
+            scores = sorted({(-max(-e.LONG, min(e.LONG, sum(x * y for x, y in zip(a, b)))), i) for i, b in held if i != q})
             out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
     return out
 
@@ -35,6 +36,40 @@ def test_equals_all_pairs(spark, block):
     assert got == slow(rows, 5, 10)
 
 
+@pytest.mark.parametrize("size", [1e6, 1e8, 1e12, 1e15, 4e15])
+def test_outliers(spark, size):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(300)]
+    for i in (0, 17, 40, 123):
+        rows[i] = (i, [x * rng.choice([1.0, size]) for x in rows[i][1]])
+    rows[60] = (60, [size, *[0.0] * 7])
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = {tuple(r) for r in e.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()}
+    assert got == slow(rows, 5, 20)
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(2000)] + [(2000, [1e9] + [0.0] * 7)]
+    reads = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in e.top_k(df, F.col("vec_id") % 100 == 0, 5, reads=reads).collect()}
+    assert got == slow(rows, 5, 100) and 21 * 6 <= reads.value < 21 * 2001 // 10
+
+
+def test_bounds_hold_every_product():
+    rng = np.random.default_rng(1)
+    for size in (2**8, 2**40, 2**61):
+        rows, queries = rng.integers(-size, size, (500, 5)), rng.integers(-size, size, (20, 5))
+        rows[:3], rows[3] = rows[0], size
+        grid = e.Grid(rows[100:], rows.min(axis=0), rows.max(axis=0))
+        low, high = (grid.bound(queries, grid.cells(rows), up) for up in (False, True))
+        for i, q in enumerate(queries.tolist()):
+            for j, v in enumerate(rows.tolist()):
+                product = sum(x * y for x, y in zip(q, v))
+                assert int(low[i, j]) <= product <= int(high[i, j]) + 1
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [-1.0])], "vec_id bigint, embedding array<float>")
     got = sorted(tuple(r) for r in e.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())

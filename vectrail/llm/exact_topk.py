@@ -1,19 +1,22 @@
 """Exact top-k by inner product through a vector-approximation file.
 
 The file holds a cell number for each component of each distinct vector, and beside it the exact
-integers and the smallest ids that carry the vector. A search reads the cells twice: once for the
-(k+1)-th best lower bound of each query, once for the vectors whose upper bound reaches it. Exact
-integers are read for those alone. Queries come in blocks of bounded size, each broadcast by itself.
+integers and the smallest ids that carry the vector. A dimension's cells end at the quantiles of a sample
+(GRID_ROWS rows) and at the least and greatest value of all rows, so an outlier widens one cell alone.
+A search reads the cells once for the (k+1)-th best lower bound of each query, and once more for the
+vectors whose upper bound reaches it. Of those, exact vectors are read in the order of their upper
+bounds, a few for each query at a time, until no bound left reaches the (k+1)-th exact score so far.
+Bounds are computed in floating point and widened by the greatest rounding error, scores in integers.
+Queries come in blocks of bounded size, each broadcast by itself.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no part; a shorter
 vector counts as padded with zeros; repeated rows (same id, same vector) are one row; a query never
 finds rows of its own id; equal scores go to the smaller id; no queries or no vectors give no rows;
-components beyond 2**62 / 256 are clamped there, and so are scores beyond the range of a long.
+components beyond 2**62 are clamped there, and scores beyond the range of a long to its ends.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +26,20 @@ from pyspark.sql import functions as F
 
 from vectrail.llm import common
 
-#: Cells for each component, and the most query vectors that are broadcast at once.
-CELLS, QUERY_BLOCK = 64, 4096
-LIMIT = 2**62
+#: Cells for each component, rows that place them, and the most query vectors that are broadcast at once.
+CELLS, GRID_ROWS, QUERY_BLOCK = 256, 4096, 2048
+#: Vectors that are held against a block at once, and exact vectors that a query reads at once.
+ROWS, READ = 1024, 8
+LIMIT, LONG = 2**62, 2**63 - 1
 
 
-def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T over integers, exact: as floats where every sum stays below 2**53."""
-    most = lambda x: int(np.abs(x).max()) if x.size else 0
-    if most(a) * most(b) * max(1, a.shape[1]) < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.vectorize(lambda s: min(max(s, -(2**63)), 2**63 - 1), otypes=[object])(a.astype(object) @ b.T.astype(object)).astype(np.int64)
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a with the same rows of b, exact, clamped to the range of a long."""
+    most = np.abs(a).max(axis=1, initial=0).astype(np.float64) * np.abs(b).max(axis=1, initial=0) * max(1, a.shape[1])
+    out = np.einsum("ij,ij->i", a, b)
+    for i in np.nonzero(most >= 2.0**62)[0].tolist():
+        out[i] = min(max(sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist())), -LONG), LONG)
+    return out
 
 
 def usable(vec: Column) -> Column:
@@ -62,22 +68,54 @@ def matrix(raws: list[bytes], dim: int, kind: str = "<i8") -> np.ndarray:
 
 
 class Grid:
-    """Equal cells over the range of all components."""
+    """Cells of each dimension: cell c of dimension d holds the integers from edges[d, c] to edges[d, c + 1] - 1."""
 
-    def __init__(self, low: int, high: int, dim: int):
-        self.low, self.dim = min(low, 0), dim
-        self.width = max(1, -(-(max(high, 0) - self.low + 1) // CELLS))
+    def __init__(self, sample: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """sample: some rows; low and high: the least and greatest value of every dimension over all rows."""
+        self.dim = len(low)
+        inner = np.sort(sample, axis=0)[(np.arange(1, CELLS) * len(sample)) // CELLS].T
+        ends = np.concatenate([low[:, None], np.clip(inner, low[:, None], high[:, None] + 1), high[:, None] + 1], axis=1)
+        self.edges = np.sort(ends, axis=1)
 
     def cells(self, ints: np.ndarray) -> np.ndarray:
-        return ((ints - self.low) // self.width).astype(np.uint8)
+        found = [np.searchsorted(self.edges[d, 1:-1], ints[:, d], side="right") for d in range(self.dim)]
+        return np.stack(found, axis=1).astype(np.uint8) if found else np.zeros((len(ints), 0), np.uint8)
+
+    def box(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest components of the vectors in the cells."""
+        d = np.arange(self.dim)
+        return self.edges[d, cells].astype(np.float64), (self.edges[d, cells.astype(np.int64) + 1] - 1).astype(np.float64)
+
+    def bound(self, queries: np.ndarray, cells: np.ndarray, upper: bool) -> np.ndarray:
+        """For each query and each vector in the cells: no inner product is above (below, unless upper)."""
+        low, high = self.box(cells)
+        q = queries.astype(np.float64)
+        more, less = np.maximum(q, 0.0), np.minimum(q, 0.0)
+        found = more @ high.T + less @ low.T if upper else more @ low.T + less @ high.T
+        sizes = np.maximum(np.abs(low), np.abs(high)).max(axis=1, initial=0.0)
+        weights = np.abs(q).sum(axis=1)
+        if float(weights.max(initial=0.0)) * float(sizes.max(initial=0.0)) < 2.0**53:
+            return found  # every sum was exact
+        error = (8 * (self.dim + 8) * 2.0**-53) * np.outer(weights, sizes)
+        return found + error if upper else found - error
+
+
+def grid_of(ints: DataFrame, dim: int) -> Grid:
+    """A grid for rows (id, v)."""
 
-    def lower(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Least inner product of each query with any vector in the cells; the greatest lies slack() above."""
-        base = self.low * queries.sum(axis=1) + (self.width - 1) * np.minimum(queries, 0).sum(axis=1)
-        return dots(queries, cells) * self.width + base[:, None]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                m = matrix(b.column(0)[at : at + ROWS].to_pylist(), dim)
+                low = m.min(axis=0) if low is None else np.minimum(low, m.min(axis=0))
+                high = m.max(axis=0) if high is None else np.maximum(high, m.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim), pa.int32()), pa.array(low), pa.array(high)], names=["d", "low", "high"])
 
-    def slack(self, queries: np.ndarray) -> np.ndarray:
-        return (self.width - 1) * np.abs(queries).sum(axis=1)
+    ends = ints.select("v").mapInArrow(run, "d int, low bigint, high bigint").groupBy("d").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d").toArrow()  # dim rows
+    some = ints.orderBy(F.xxhash64("id", "v")).limit(GRID_ROWS).select("v").collect()  # GRID_ROWS rows
+    return Grid(matrix([bytes(r.v) for r in some], dim), np.asarray(ends["low"]).astype(np.int64), np.asarray(ends["high"]).astype(np.int64))
 
 
 def va_file(ints: DataFrame, grid: Grid, k: int) -> DataFrame:
@@ -99,59 +137,86 @@ def thresholds(index: DataFrame, block, grid: Grid, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                low = grid.lower(block.value, matrix(b.column(0)[at : at + 2048].to_pylist(), grid.dim, "u1"))
+            for at in range(0, b.num_rows, ROWS):
+                low = grid.bound(block.value, matrix(b.column(0)[at : at + ROWS].to_pylist(), grid.dim, "u1"), False)
                 best = low if best is None else np.hstack([best, low])
                 if best.shape[1] > k + 1:
                     best = -np.partition(-best, k, axis=1)[:, : k + 1]
         if best is not None:
             q = np.repeat(np.arange(best.shape[0]), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best.ravel(), pa.int64())], names=["q", "low"])
-
-    return index.select("cells").mapInArrow(run, "q bigint, low bigint")
-
-
-def candidates(index: DataFrame, block, reach, grid: Grid) -> DataFrame:
-    """(q, vid) whose upper bound reaches the query's threshold."""
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best.ravel(), pa.float64())], names=["q", "low"])
+
+    return index.select("cells").mapInArrow(run, "q bigint, low double")
+
+
+class Nearest:
+    """The k + 1 best vectors of each query so far, by score and then by the smaller id."""
+
+    def __init__(self, queries: np.ndarray, reach: np.ndarray, k: int):
+        self.queries, self.reach, self.read = queries, reach, 0
+        self.score = np.full((len(queries), k + 1), -LONG, dtype=np.int64)
+        self.vid = np.full((len(queries), k + 1), LONG, dtype=np.int64)
+
+    def offer(self, upper: np.ndarray, vids: np.ndarray, exact: list[bytes], dim: int) -> None:
+        """Read exact vectors in the order of their upper bounds while those reach the last of the best."""
+        n = min(READ, upper.shape[1])
+        while True:
+            last = self.score[:, -1]
+            need = np.maximum(self.reach, np.where(last > -LONG, np.nextafter(last.astype(np.float64), -np.inf), -np.inf))
+            most = upper.max(axis=1, initial=-np.inf)
+            open_ = np.nonzero((most >= need) & (most > -np.inf))[0]
+            if not len(open_):
+                return
+            rows = np.argpartition(-upper[open_], n - 1, axis=1)[:, :n]
+            bounds = np.take_along_axis(upper[open_], rows, axis=1)
+            i, j = np.nonzero((bounds >= need[open_][:, None]) & (bounds > -np.inf))
+            q, row = open_[i], rows[i, j]
+            used, place = np.unique(row, return_inverse=True)
+            got = products(self.queries[q], matrix([exact[x] for x in used.tolist()], dim)[place])
+            self.read += len(q)
+            upper[q, row] = -np.inf
+            score, vid = np.full(bounds.shape, -LONG, dtype=np.int64), np.full(bounds.shape, LONG, dtype=np.int64)
+            score[i, j], vid[i, j] = got, vids[row]
+            score, vid = np.hstack([self.score[open_], score]), np.hstack([self.vid[open_], vid])
+            order = np.lexsort((vid, -score), axis=1)[:, : self.score.shape[1]]
+            self.score[open_], self.vid[open_] = np.take_along_axis(score, order, axis=1), np.take_along_axis(vid, order, axis=1)
+
+
+def nearest(index: DataFrame, block, reach, grid: Grid, k: int, reads=None) -> DataFrame:
+    """q, vid, ids, score: of each partition and query the k + 1 best vectors that reach the query's threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = (reach.value - grid.slack(block.value))[:, None]
+        best, ids = Nearest(block.value, reach.value, k), {}
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                q, row = np.nonzero(grid.lower(block.value, matrix(part.column(1).to_pylist(), grid.dim, "u1")) >= need)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), part.column(0).take(pa.array(row))], names=["q", "vid"])
-
-    return index.select("vid", "cells").mapInArrow(run, "q bigint, vid bigint")
-
-
-def scored(found: DataFrame, block, grid: Grid) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                q = np.asarray(part.column("q"))
-                exact, mine = matrix(part.column("v").to_pylist(), grid.dim), block.value[q]
-                if int(np.abs(exact).max(initial=0)) * int(np.abs(mine).max(initial=0)) * max(1, grid.dim) < 2**62:
-                    score = np.einsum("ij,ij->i", exact, mine)
-                else:
-                    score = np.array([dots(exact[i : i + 1], mine[i : i + 1])[0, 0] for i in range(len(q))])
-                yield pa.RecordBatch.from_arrays([part.column("q"), part.column("ids"), pa.array(score, pa.int64())], names=["q", "ids", "score"])
-
-    return found.mapInArrow(run, "q bigint, ids array<bigint>, score bigint")
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows for each row that is_query (a condition on the id) takes."""
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                vids = np.asarray(part.column("vid"))
+                upper = grid.bound(block.value, matrix(part.column("cells").to_pylist(), grid.dim, "u1"), True)
+                best.offer(upper, vids, part.column("v").to_pylist(), grid.dim)
+                new = np.nonzero(np.isin(vids, best.vid))[0]
+                ids.update(zip(vids[new].tolist(), part.column("ids").take(pa.array(new)).to_pylist()))
+            ids = {v: ids[v] for v in np.unique(best.vid).tolist() if v in ids}
+        q, place = np.nonzero(best.vid != LONG)
+        vid = best.vid[q, place]
+        if reads is not None:
+            reads.add(best.read)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([ids[v] for v in vid.tolist()], pa.list_(pa.int64())), pa.array(best.score[q, place], pa.int64())], names=["q", "ids", "score"])
+
+    return index.select("vid", "ids", "cells", "v").mapInArrow(run, "q bigint, ids array<bigint>, score bigint")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK, reads=None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows for each row that is_query (a condition on the id) takes.
+
+    reads: an accumulator that is told how many exact vectors were read."""
     spark = vectors.sparkSession
-    ok = vectors.where(usable(F.col(vec_col)))
-    size, low, high = ok.agg(F.max(F.size(vec_col)), F.min(F.array_min(vec_col)), F.max(F.array_max(vec_col))).first()
+    size = vectors.where(usable(F.col(vec_col))).agg(F.max(F.size(vec_col))).first()[0]
     nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    if size is None:
+    ints = common.stored(integers(common.spread(vectors), id_col, vec_col), "va-integers") if size is not None else None
+    if ints is None or ints.isEmpty():
         return nothing
-    edge = lambda x: max(-LIMIT, min(LIMIT, math.floor(256.0 * x))) if x is not None else 0
-    grid = Grid(edge(low), edge(high), max(1, size))
-    index = common.stored(va_file(integers(common.spread(vectors), id_col, vec_col), grid, k), "va-file")
+    grid = grid_of(ints, max(1, size))
+    index = common.stored(va_file(ints, grid, k), "va-file")
 
     asked = integers(vectors.where(is_query), id_col, vec_col).distinct()
     asked = common.stored(asked.join(asked.groupBy("v").agg(F.min("id").alias("qid")), "v"), "va-queries")
@@ -167,11 +232,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
             continue
         block = spark.sparkContext.broadcast(matrix([bytes(r.v) for r in held], grid.dim))
         best = thresholds(index, block, grid, k).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))).where(F.col("r") == k + 1)
-        reach = np.full(len(held), -(2**62), dtype=np.int64)
+        reach = np.full(len(held), -np.inf)
         for r in best.collect():  # a row for each query of the block at most
-            reach[r.q] = r.low
-        pairs = candidates(index, block, spark.sparkContext.broadcast(reach), grid)
-        exact = scored(pairs.join(index.select("vid", "ids", "v"), "vid"), block, grid)
+            reach[r.q] = min(r.low, 2.0**62) if r.low > -(2.0**62) else -np.inf  # scores beyond a long are equal
+        exact = nearest(index, block, spark.sparkContext.broadcast(reach), grid, k, reads)
         names = spark.createDataFrame([(i, r.qid) for i, r in enumerate(held)], "q bigint, qid bigint")
         one = exact.select("q", "score", F.explode("ids").alias("vec_id"))
         one = one.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)

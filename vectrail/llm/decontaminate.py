@@ -26,12 +26,12 @@ null item_id; an empty benchmark leaves every document clean; other columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g k
 
 DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
 
-_FIND = regex.compile(r"[^\W_]+|[.!?:\n]").findall
+_FIND = re.compile(r"[^\W_]+|[.!?:\n]").findall
 PLAIN, STOP, NUMBER, UNIT, CAPITAL, NAME = range(6)
 _MARK = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>", 1)) for kind in (NUMBER, UNIT, NAME)}
 
@@ -63,26 +63,33 @@ def kind_of(token: str) -> int:
     return CAPITAL if len(token) > 1 and token[0].isupper() and token[1:].islower() else PLAIN
 
 
+class Places(dict):
+    """Numbers of words, in the order of their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Reader:
     """Template words of texts, as arrays over all words of a run of texts."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.kinds = np.zeros(0, dtype=np.uint8)
 
-    def read(self, run: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words, template hashes, hashes of the very words, kinds, and the text that each word is from."""
+    def read(self, run: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens; of those that are words the place among them, template hash, hash of the very word, kind, and text."""
         if len(self.place) > REMEMBERED:
             self.__init__()
         split = [_FIND(t) for t in run]
-        new = list(set().union(*split).difference(self.place))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(DIGITS.get(x := w.lower(), x)) for w in new), np.uint64, len(new))])
-        self.kinds = np.concatenate([self.kinds, np.fromiter(map(kind_of, new), np.uint8, len(new))])
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         flat = list(chain.from_iterable(split))
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        new = list(islice(self.place, len(self.hashes), None))
+        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(DIGITS.get(x := w.lower(), x)) for w in new), np.uint64, len(new))])
+        self.kinds = np.concatenate([self.kinds, np.fromiter(map(kind_of, new), np.uint8, len(new))])
         kinds, owner = self.kinds[at], np.repeat(np.arange(len(run)), sizes)
         before = np.full(len(flat), STOP, dtype=np.uint8)
         before[1:] = kinds[:-1]
@@ -94,19 +101,26 @@ class Reader:
         for kind, mark in _MARK.items():
             hashes[kinds == kind] = mark
         keep = np.nonzero(kinds != STOP)[0]
-        return [flat[i] for i in keep.tolist()], hashes[keep], own[keep], kinds[keep], owner[keep]
+        return flat, keep, hashes[keep], own[keep], kinds[keep], owner[keep]
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    n = max(0, len(hashes) - size + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
-    return out ^ (out >> np.uint64(29))
+    """A hash of every window of so many: a polynomial, put together from windows whose sizes are powers of two."""
+    out, have, part, width = None, 0, hashes, 1
+    times = lambda n: np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64))
+    while True:
+        if size & width:
+            out = part if out is None else out[: max(0, len(part) - have)] * times(width) + part[have:]
+            have += width
+        if have == size:
+            return out ^ (out >> np.uint64(29))
+        part = part[: max(0, len(part) - width)] * times(width) + part[width:]
+        width *= 2
 
 
 def bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes % np.uint64(BITS)).astype(np.int64), (hashes // np.uint64(BITS) % np.uint64(BITS)).astype(np.int64)
+    mask = np.uint64(BITS - 1)
+    return (hashes & mask).astype(np.int64), (hashes >> np.uint64(BITS.bit_length() - 1) & mask).astype(np.int64)
 
 
 SCHEMA = "id binary, words bigint, size int, at bigint, hash bigint, very boolean, fills array<string>"
@@ -125,7 +139,7 @@ def windows(texts: DataFrame, sizes: tuple[int, ...] | None = None, table=None)
         for b in batches:
             ids, base = b.column(0).to_pylist(), 0
             for part in common.texts(b.column(1)):
-                words, hashes, own, kinds, owner = reader.read(part)
+                tokens, place, hashes, own, kinds, owner = reader.read(part)
                 counts = np.bincount(owner, minlength=len(part))
                 starts = np.cumsum(counts) - counts
                 plain = np.r_[0, np.cumsum(kinds == PLAIN)]
@@ -145,10 +159,11 @@ def windows(texts: DataFrame, sizes: tuple[int, ...] | None = None, table=None)
                             h, ok = window_hashes(own, size) ^ VERY_WORDS, inside
                         if table is not None:
                             one, two = bits_of(h)
-                            ok = ok & table.value[one] & table.value[two]
+                            ok = ok & table.value[one]
+                            ok[ok] = table.value[two[ok]]
                         seen = set()
                         for i in np.nonzero(ok)[0].tolist():
-                            fills = tuple(DIGITS.get(x := words[j].lower(), x) for j in range(i, i + size) if kinds[j] != PLAIN) if template or table is None else ()
+                            fills = tuple(DIGITS.get(x := tokens[place[j]].lower(), x) for j in range(i, i + size) if kinds[j] != PLAIN) if template or table is None else ()
                             t = int(owner[i])
                             if sizes is not None:
                                 if (t, int(h[i]), fills) in seen:

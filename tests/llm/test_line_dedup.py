@@ -29,14 +29,15 @@ def slow(docs):
     links = dict.fromkeys(texts, 0)
     for n, a in enumerate(texts):
         for b in texts[n + 1 :]:
-            if min(len(a), len(b)) >= d.LEAST and abs(len(a) - len(b)) <= d.EDITS and distance(a, b) <= d.EDITS:
+            most = min(d.EDITS, len(min(a, b, key=len)) // d.CHARS)
+            if most and abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 links[a] += 1
                 links[b] += 1
                 parent[root(b)] = root(a)
     first = {}
     for place, line in places:
         first.setdefault(root(line), place)
-    return {(place, first[root(line)], links[line], len(line) < d.LEAST or place == first[root(line)]) for place, line in places}
+    return {(place, first[root(line)], links[line], not line or place == first[root(line)]) for place, line in places}
 
 
 def edited(rng, line, times):
@@ -51,8 +52,8 @@ def fixture():
     rng = random.Random(11)
     words = ["alpha", "bé", "gamma", "delta", "of", "the", "日本", "omega"]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 14))) for _ in range(12)]
-    docs = [(0, None), (1, ""), (2, "\n\n"), (3, "short\nshort"), (4, "short")]
-    for i in range(5, 70):
+    docs = [(0, None), (1, ""), (2, "\n\n"), (3, "short\nshort"), (4, "short"), (5, "a\n\nbcd\nfifteen letters"), (6, "a\nbce\nfifteen lettres\nfifteen letter")]
+    for i in range(7, 70):
         docs.append((i, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randint(1, 4)))))
     docs += [(100 + i, "This line stands in a great many documents, word for word.\r") for i in range(60)]
     return docs
@@ -62,6 +63,21 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "en", len(t or ""), "clash", "clash") for i, t in docs], "doc_id bigint, text string, lang string, n_chars bigint, k string, line string")
 
 
+def test_distance_within_a_band(spark):
+    rng = random.Random(17)
+    rows = []
+    for _ in range(400):
+        line = "".join(rng.choice("abé日😀 ") for _ in range(rng.choice([1, 2, 3, 10, 70, 300])))
+        other = edited(rng, line, rng.choice([0, 1, 2, 2, 3, 4]))
+        a, b = sorted((line, other), key=len)
+        if a and len(b) - len(a) <= d.EDITS:
+            rows += [(a, b, len(a), len(b), e, distance(a, b) <= e, distance(a, b)) for e in range(d.EDITS + 1)]
+    got = spark.createDataFrame(rows, "a string, b string, n int, m int, e int, want boolean, flips int")
+    assert got.where("want").count() > 100 < got.where("not want").count()
+    assert got.where(d.within(got.a, got.b, got.n, got.m, got.e) != got.want).count() == 0
+    assert got.where(~d._near(d.signature(got.a), d.signature(got.b), got.flips)).count() == 0
+
+
 def test_classes_equal_brute_force(spark):
     docs = fixture()
     got = d.classes(frame(spark, docs)).collect()
@@ -84,9 +100,12 @@ def test_texts_without_repeats(spark):
 
 def test_repeated_rows_and_nameless_rows(spark):
     long = "A line that is long enough to be compared with other lines."
-    df = spark.createDataFrame([(1, long), (1, long), (2, long + "!"), (None, "x"), (None, None)], "doc_id bigint, text string")
-    got = sorted((r.doc_id or -1, r.text) for r in d.without_repeats(df).collect() if r.text is not None)
-    assert got == [(-1, "x"), (1, long), (1, long), (2, "")]
+    df = spark.createDataFrame([(1, long), (1, long), (2, long + "!"), (None, "x"), (None, None), (3, "x\nonly here"), (3, "only there\nx\nand\nwords of it")], "doc_id bigint, text string")
+    df = df.withColumn("gone", df.doc_id).withColumn("line_doc", df.doc_id)
+    out = d.without_repeats(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id or -1, r.text) for r in out.collect() if r.text is not None)
+    assert got == [(-1, "x"), (1, long), (1, long), (2, ""), (3, "only here"), (3, "only there\nand\nwords of it")]
 
 
 def test_empty_table(spark):

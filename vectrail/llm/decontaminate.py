@@ -245,8 +245,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item."""
-    gone = held(docs, benchmark).select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, digest(F.col("text")) == F.col("__id"), "left_anti").select(*docs.columns)
+    key = common.unused(docs, "digest")
+    gone = held(docs, benchmark).select(F.col("id").alias(key)).distinct()
+    return docs.join(gone, digest(docs["text"]) == gone[key], "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,16 @@ def test_stage_equals_brute_force(spark, monkeypatch, rounds):
     assert any(alike(held[i], held[j]) and (fps[i] ^ fps[j]).bit_count() > 2 for i in held for j in held)
 
 
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "only here once", 0), (1, text, 0), (1, text, 1), (2, text + " more", 2), (2, "only there once", 2), (None, text, 3), (3, None, 4), (4, "", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, gone_doc int")
+    out = near_copies.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert got == [(0, text), (1, "only here once"), (1, text), (2, "only there once"), (3, "")]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_copies.classes(df).collect() == []

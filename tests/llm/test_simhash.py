@@ -59,9 +59,6 @@ def test_classes_equal_brute_force(spark):
     want = slow_components(fps)
     assert len(got) == len(rows)
     assert all(r.fp % 2**64 == fps[r.doc_id] and r.component_id == want[r.doc_id] for r in got)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
 def test_hot_keys_link_the_same_rows(spark, monkeypatch):
@@ -79,4 +76,3 @@ def test_hot_keys_link_the_same_rows(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.classes(df).collect() == []
-    assert simhash.keep_one(df).collect() == []

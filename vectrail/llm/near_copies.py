@@ -1,17 +1,21 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Found by prefix filtering, which loses no pair: with all shingles in one order, two sets of that similarity
+First come the pairs whose fingerprints (the majority bits of those shingles) differ in two bits or fewer, joined
+on the Golay-code keys of simhash and verified. Fingerprints of near copies may differ in more bits, so prefix
+filtering finds the rest and loses no pair: with all shingles in one order, two sets of that similarity
 share a shingle among the first n - ceil(0.8 n) + 1 of each. The order puts common shingles last, as far as
 a sample of documents shows them; the sample and COMMON decide how many pairs are compared, not which are
 found. Pairs that meet at a shingle are held against bounds from their sizes and places, and what is left
 is verified by the intersection of the whole sets. Equal sets are one node throughout.
 
-Only components are wanted. Of the nodes at one shingle, all are first compared with one leader; then only
+Only components are wanted, and nodes of one component are not compared again. Of the nodes at one shingle, all are first compared with one leader; then only
 nodes of different components are paired off, so a large family of copies makes few pairs.
 
 Defined results: words and case as in simhash; fewer than five words are one shingle; null texts and texts
-without words are equal; shingles are compared by 64-bit hashes; a component is named by its smallest
-doc_id; rows without doc_id have no component; other columns are ignored.
+without words are equal; shingles are compared by 64-bit hashes; rows are told apart by doc_id and text, so
+several texts may share a doc_id; a component is named by its smallest doc_id (and hash of the text); rows
+without doc_id have no component and are kept; of rows that are equal in doc_id and text one is kept; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm import common
+from vectrail.llm import common, simhash
 from vectrail.llm.components import components
 
 WORDS, SEED = 5, 42
@@ -52,28 +56,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, s: the shingles of each row."""
+def named(docs: DataFrame) -> DataFrame:
+    """node (doc_id and a hash of the text) and text of each row."""
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of")).alias("node"), "text")
+
+
+NODE = "struct<doc_id:bigint,of:bigint>"
+
+
+def sets(rows: DataFrame) -> DataFrame:
+    """node, s: the shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t) for part in common.texts(b.column(1)) for t in part])], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t) for part in common.texts(b.column(1)) for t in part])], names=["node", "s"])
 
-    return common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, s array<bigint>")
+    return common.spread(rows).mapInArrow(run, f"node {NODE}, s array<bigint>")
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes in order, and how often each is held in the sample."""
-    some = sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).select(F.explode("s").alias("h"))
-    rows = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = np.asarray(rows["h"]).astype(np.int64).view(np.uint64), np.asarray(rows["n"]).astype(np.int64)
+    some = sets(rows.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)).select(F.explode("s").alias("h"))
+    held = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = np.asarray(held["h"]).astype(np.int64).view(np.uint64), np.asarray(held["n"]).astype(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, sig (of the whole set), n (shingles), s: those of the prefix, rarest first."""
-    often, times = common_shingles(docs)
+def prefixes(rows: DataFrame) -> DataFrame:
+    """node, sig (of the whole set), fp (fingerprint), n (shingles), s: those of the prefix, rarest first."""
+    often, times = common_shingles(rows)
 
     def prefix(s: np.ndarray) -> np.ndarray:
         if len(often):
@@ -85,9 +97,10 @@ def prefixes(docs: DataFrame) -> DataFrame:
         for b in batches:
             each = [shingles(t) for part in common.texts(b.column(1)) for t in part]
             sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sig, pa.array([len(s) for s in each], pa.int32()), _lists([prefix(s) for s in each])], names=["doc_id", "sig", "n", "s"])
+            fp = pa.array(np.array([simhash.majority(s) for s in each], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), sig, fp, pa.array([len(s) for s in each], pa.int32()), _lists([prefix(s) for s in each])], names=["node", "sig", "fp", "n", "s"])
 
-    return common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, sig binary, n int, s array<bigint>")
+    return common.spread(rows).mapInArrow(run, f"node {NODE}, sig binary, fp bigint, n int, s array<bigint>")
 
 
 def _can_match(x: str, y: str) -> Column:
@@ -97,30 +110,34 @@ def _can_match(x: str, y: str) -> Column:
     return (F.least(nx, ny) * OF >= F.greatest(nx, ny) * ALIKE) & (most * (ALIKE + OF) >= (nx + ny) * ALIKE)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose texts are near copies."""
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts are near copies."""
     pairs = common.stored(pairs, "near-pairs")
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = common.stored(sets(docs.join(nodes, "doc_id", "left_semi")), "near-sets")
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    held = common.stored(sets(rows.join(nodes, "node", "left_semi")).dropDuplicates(["node"]), "near-sets")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same * OF >= (F.size("x") + F.size("y") - same) * ALIKE).select("a", "b").distinct()
+    return both.where(same * OF >= (F.size("x") + F.size("y") - same) * ALIKE).select("a", "b")
 
 
-def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: nodes that are near copies, enough of them to hold every component together. distinct: node, n, s."""
+def by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes to verify, whose fingerprints differ in few bits. distinct: node, fp."""
+    first = common.stored(distinct.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    equal = distinct.select("fp", F.col("node").alias("b")).join(first, "fp").where("node < b").select(F.col("node").alias("a"), "b")
+    return equal.unionByName(simhash.links(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: nodes that are near copies, enough of them to hold every component together. distinct: node, fp, n, s."""
+    found = common.stored(verified(by_fingerprint(distinct), texts), "near-links")
     rows = distinct.select("node", "n", F.posexplode("s").alias("at", "key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    rows = common.stored(rows.join(shared, "key"), "near-keys")
-    found = None
+    rows = rows.join(shared, "key")
     for k in range(ROUNDS + 1):
-        if found is not None:
-            named = components(found).select("node", "component")
-            rows = rows.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-            rows = common.stored(rows.join(open_keys, "key"), "near-keys")
-        else:
-            rows = rows.withColumn("component", F.col("node"))
+        known = components(found).select("node", "component")
+        rows = rows.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        rows = common.stored(rows.join(open_keys, "key"), "near-keys")
         if k < ROUNDS:
             first = F.min_by(F.struct("node", "n", "at", "component"), F.struct(F.xxhash64("node", F.lit(k)), "node"))
             other = rows.groupBy("key").agg(first.alias("l")).select("key", "l.*")
@@ -130,17 +147,29 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
         once = F.col("x.node") < F.col("y.node") if k == ROUNDS else F.col("x.node") != F.col("y.node")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & once & (F.col("x.component") != F.col("y.component")) & _can_match("x", "y"))
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        new = verified(pairs, docs)
-        found = common.stored(new if found is None else found.unionByName(new), "near-links")
+        found = common.stored(found.unionByName(verified(pairs, texts)), "near-links")
     return found
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id for each row."""
-    held = common.stored(prefixes(docs), "near-prefixes")
-    distinct = held.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("s").alias("s"))
+    """node (doc_id, of) and first (the node that names its component; null without doc_id) for each row."""
+    rows = named(docs)
+    held = common.stored(prefixes(rows), "near-prefixes")
+    distinct = held.where("node.doc_id is not null").groupBy("sig").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("s").alias("s"))
     distinct = common.stored(distinct, "near-nodes")
-    found = components(links(distinct, docs.where("doc_id is not null")))
-    named = distinct.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    out = held.select("doc_id", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    found = components(links(distinct, rows.where("node.doc_id is not null")))
+    by_sig = distinct.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("first"))
+    out = held.select("node", "sig").join(by_sig, "sig", "left")
+    return out.select("node", F.when(F.col("node.doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that name their component, and those without doc_id."""
+    found = common.stored(classes(docs), "near-classes")
+    key = [common.unused(docs, n) for n in ("gone_doc", "gone_of")]
+    gone = found.where("node != first").select("node.doc_id", "node.of").distinct().toDF(*key)
+    kept = docs.join(gone, (docs["doc_id"] == gone[key[0]]) & (F.xxhash64(docs["text"]) == gone[key[1]]), "left_anti")
+    if not found.where("first is not null").groupBy("node").count().where("count > 1").isEmpty():
+        once = kept.where("doc_id is not null").withColumn(key[1], F.xxhash64("text")).dropDuplicates(["doc_id", key[1]]).drop(key[1])
+        kept = once.unionByName(kept.where("doc_id is null"))
+    return kept

@@ -20,7 +20,7 @@ doc_id; repeated rows keep one row each; rows without doc_id have no component;
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -47,7 +47,11 @@ def fingerprint(text: str) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -115,6 +119,7 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_keys(distinct: DataFrame) -> DataFrame:
     """key, fp, node for each key of each distinct fingerprint."""
+    kind = distinct.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,11 +127,12 @@ def with_keys(distinct: DataFrame) -> DataFrame:
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("fp").take(at), b.column("node").take(at)], names=["key", "fp", "node"])
 
-    return distinct.mapInArrow(run, "key bigint, fp bigint, node bigint")
+    return distinct.mapInArrow(run, f"key bigint, fp bigint, node {kind}")
 
 
 def with_ball(hot: DataFrame) -> DataFrame:
     """value, node for the 65 values within one bit of each fingerprint."""
+    kind = hot.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
@@ -134,11 +140,11 @@ def with_ball(hot: DataFrame) -> DataFrame:
             values = (np.asarray(b.column("fp")).view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values), b.column("node").take(pa.array(np.repeat(np.arange(b.num_rows), 65)))], names=["value", "node"])
 
-    return hot.mapInArrow(run, "value bigint, node bigint")
+    return hot.mapInArrow(run, f"value bigint, node {kind}")
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """a, b: nodes of fingerprints that differ in two bits or fewer, enough of them to hold every component together."""
+    """a, b: nodes (of any type with an order) of fingerprints (fp) that differ in two bits or fewer, enough of them to hold every component together."""
     keys = common.stored(with_keys(distinct), "golay-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = common.stored(keys.join(shared, "key"), "golay-shared")
@@ -161,17 +167,6 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, by: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
-    """The rows of docs that name their component, each document once; rows without doc_id stay."""
-    found = common.stored(by(docs), "simhash-classes")
-    others = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        nameless = kept.where("doc_id is null")
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)
-    return kept.select(*docs.columns)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,7 +8,8 @@ a sample of documents shows them; the sample and COMMON decide how many pairs ar
 found. Pairs that meet at a shingle are held against bounds from their sizes and places, and what is left
 is verified by the intersection of the whole sets. Equal sets are one node throughout.
 
-Only components are wanted, and nodes of one component are not compared again. Of the nodes at one shingle, all are first compared with one leader; then only
+Only shingles that two prefixes hold are sent to the join: a first pass counts bare hashes, and a table of
+bits lets the second pass leave out most others. Only components are wanted, and nodes of one component are not compared again. Of the nodes at one shingle, all are first compared with one leader; then only
 nodes of different components are paired off, so a large family of copies makes few pairs.
 
 Defined results: words and case as in simhash; fewer than five words are one shingle; null texts and texts
@@ -37,6 +38,8 @@ WORDS, SEED = 5, 42
 ALIKE, OF = 4, 5
 #: One document of so many shows which shingles are common, and so many of those at most are put last.
 SAMPLE, COMMON = 8, 1 << 17
+#: Places in the table of shared shingles, for each and at most (128 MB).
+BITS_EACH, BITS = 16, 1 << 30
 #: Rounds with leaders before nodes are paired off.
 ROUNDS = 2
 
@@ -83,24 +86,69 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
-    """node, sig (of the whole set), fp (fingerprint), n (shingles), s: those of the prefix, rarest first."""
-    often, times = common_shingles(rows)
+class Prefixes:
+    """The shingles that a set of near copies must share one of: all but so many of the commonest, the rarest first."""
+
+    def __init__(self, often: np.ndarray, times: np.ndarray):
+        self.often, self.times = often, times
 
-    def prefix(s: np.ndarray) -> np.ndarray:
-        if len(often):
-            at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-            s = s[np.argsort(np.where(often[at] == s, times[at], 0), kind="stable")]
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, s), len(self.often) - 1)
+            s = s[np.argsort(np.where(self.often[at] == s, self.times[at], 0), kind="stable")]
         return s[: len(s) + (-ALIKE * len(s)) // OF + 1]
 
+
+def shared_keys(rows: DataFrame, prefix) -> np.ndarray:
+    """A table of truth values, as many as a power of two: whether a shingle with this remainder stands in two prefixes.
+
+    It has BITS_EACH places for each such shingle, BITS at most; where that is too few, more rows pass and no pair is lost."""
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in common.texts(b.column(1)):
+                found = [prefix.value.of(shingles(t)) for t in part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64))], names=["key"])
+
+    keys = common.spread(rows).mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    path = common.written(keys, "near-shared")
+    keys = common.reread(spark, path)
+    size = 1 << 16
+    while size < min(BITS, BITS_EACH * keys.count()):
+        size *= 2
+    at = F.col("key").bitwiseAND(F.lit(size - 1))
+    word = F.shiftright(at, 6).cast("int")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int")))
+    words = keys.groupBy(word.alias("w")).agg(bits.alias("bits")).toArrow()  # BITS / 64 rows at most
+    table = np.zeros(size // 64, dtype="<i8")
+    table[np.asarray(words["w"]).astype(np.int64)] = np.asarray(words["bits"]).astype(np.int64)
+    common.dropped(spark, path)
+    return table.view(np.uint8)
+
+
+def held_in(table: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at = s & np.uint64(len(table) * 8 - 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """node, sig (of the whole set), fp (fingerprint), n (shingles), s and at: those of the prefix that others may share, and their places in it."""
+    spark = rows.sparkSession
+    prefix = spark.sparkContext.broadcast(Prefixes(*common_shingles(rows)))
+    table = spark.sparkContext.broadcast(shared_keys(rows, prefix))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = [shingles(t) for part in common.texts(b.column(1)) for t in part]
             sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in each], pa.binary())
             fp = pa.array(np.array([simhash.majority(s) for s in each], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), sig, fp, pa.array([len(s) for s in each], pa.int32()), _lists([prefix(s) for s in each])], names=["node", "sig", "fp", "n", "s"])
+            first = [prefix.value.of(s) for s in each]
+            at = [np.nonzero(held_in(table.value, s))[0] for s in first]
+            columns = [b.column(0), sig, fp, pa.array([len(s) for s in each], pa.int32()), _lists([s[i] for s, i in zip(first, at)]), _lists([i.view(np.uint64) for i in at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "sig", "fp", "n", "s", "at"])
 
-    return common.spread(rows).mapInArrow(run, f"node {NODE}, sig binary, fp bigint, n int, s array<bigint>")
+    return common.spread(rows).mapInArrow(run, f"node {NODE}, sig binary, fp bigint, n int, s array<bigint>, at array<bigint>")
 
 
 def _can_match(x: str, y: str) -> Column:
@@ -128,9 +176,9 @@ def by_fingerprint(distinct: DataFrame) -> DataFrame:
 
 
 def links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: nodes that are near copies, enough of them to hold every component together. distinct: node, fp, n, s."""
+    """a, b: nodes that are near copies, enough of them to hold every component together. distinct: node, fp, n, s, at."""
     found = common.stored(verified(by_fingerprint(distinct), texts), "near-links")
-    rows = distinct.select("node", "n", F.posexplode("s").alias("at", "key"))
+    rows = distinct.select("node", "n", F.explode(F.arrays_zip("at", "s")).alias("x")).select("node", "n", "x.at", F.col("x.s").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     rows = rows.join(shared, "key")
     for k in range(ROUNDS + 1):
@@ -155,7 +203,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """node (doc_id, of) and first (the node that names its component; null without doc_id) for each row."""
     rows = named(docs)
     held = common.stored(prefixes(rows), "near-prefixes")
-    distinct = held.where("node.doc_id is not null").groupBy("sig").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("s").alias("s"))
+    one = F.min(F.struct("node", "fp", "n", "s", "at")).alias("x")  # rows of one set differ in the node alone
+    distinct = held.where("node.doc_id is not null").groupBy("sig").agg(one).select("sig", "x.*")
     distinct = common.stored(distinct, "near-nodes")
     found = components(links(distinct, rows.where("node.doc_id is not null")))
     by_sig = distinct.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("first"))

@@ -158,11 +158,21 @@ def _can_match(x: str, y: str) -> Column:
     return (F.least(nx, ny) * OF >= F.greatest(nx, ny) * ALIKE) & (most * (ALIKE + OF) >= (nx + ny) * ALIKE)
 
 
+def enough(met: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes with so many shingles (na, nb) that share as many shingles of their prefixes as
+    near copies must. Of the prefixes, let one end before the other: what two sets share outside of both stands behind
+    that end, so it is no more than the sets hold behind their prefixes."""
+    most = lambda n: F.ceil(n * ALIKE / OF) - 1  # noqa: E731  shingles behind a prefix
+    both = F.ceil((F.col("na") + F.col("nb")) * ALIKE / (ALIKE + OF))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return counted.where(F.col("c") >= both - F.greatest(most(F.col("na")), most(F.col("nb")))).select("a", "b")
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts are near copies."""
     pairs = common.stored(pairs, "near-pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    held = common.stored(sets(rows.join(nodes, "node", "left_semi")).dropDuplicates(["node"]), "near-sets")
+    held = common.stored(sets(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])), "near-sets")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same * OF >= (F.size("x") + F.size("y") - same) * ALIKE).select("a", "b")
@@ -194,7 +204,10 @@ def links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
         x, y = rows.alias("x"), other.alias("y")
         once = F.col("x.node") < F.col("y.node") if k == ROUNDS else F.col("x.node") != F.col("y.node")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & once & (F.col("x.component") != F.col("y.component")) & _can_match("x", "y"))
-        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        low = F.col("x.node") < F.col("y.node")
+        pick = lambda c, first: F.when(low == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+        met = met.select("x.key", pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb"))
+        pairs = enough(met.distinct() if k < ROUNDS else met)  # a leader meets another leader from both sides
         found = common.stored(found.unionByName(verified(pairs, texts)), "near-links")
     return found
 

@@ -67,6 +67,14 @@ def texts(column: pa.Array, most: int = 8_000_000):
         yield run
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+    """Slices of a batch with the strings of one of its columns, each of a bounded number of characters (a text is never cut)."""
+    at = 0
+    for run in texts(batch.column(column), most):
+        yield batch.slice(at, len(run)), run
+        at += len(run)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df as it is, or dealt out evenly if it is so small and in so few files that most cores would idle in Python work."""
     spark = df.sparkSession

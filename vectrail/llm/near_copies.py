@@ -71,8 +71,8 @@ def sets(rows: DataFrame) -> DataFrame:
     """node, s: the shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t) for part in common.texts(b.column(1)) for t in part])], names=["node", "s"])
+        for part, texts in (x for b in batches for x in common.parts(b, 1)):
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t) for t in texts])], names=["node", "s"])
 
     return common.spread(rows).mapInArrow(run, f"node {NODE}, s array<bigint>")
 
@@ -106,10 +106,9 @@ def shared_keys(rows: DataFrame, prefix) -> np.ndarray:
     spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in common.texts(b.column(1)):
-                found = [prefix.value.of(shingles(t)) for t in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64))], names=["key"])
+        for _, texts in (x for b in batches for x in common.parts(b, 1)):
+            found = [prefix.value.of(shingles(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64))], names=["key"])
 
     keys = common.spread(rows).mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     path = common.written(keys, "near-shared")
@@ -139,13 +138,13 @@ def prefixes(rows: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(shared_keys(rows, prefix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = [shingles(t) for part in common.texts(b.column(1)) for t in part]
+        for part, texts in (x for b in batches for x in common.parts(b, 1)):
+            each = [shingles(t) for t in texts]
             sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in each], pa.binary())
             fp = pa.array(np.array([simhash.majority(s) for s in each], dtype=np.uint64).view(np.int64))
             first = [prefix.value.of(s) for s in each]
             at = [np.nonzero(held_in(table.value, s))[0] for s in first]
-            columns = [b.column(0), sig, fp, pa.array([len(s) for s in each], pa.int32()), _lists([s[i] for s, i in zip(first, at)]), _lists([i.view(np.uint64) for i in at])]
+            columns = [part.column(0), sig, fp, pa.array([len(s) for s in each], pa.int32()), _lists([s[i] for s, i in zip(first, at)]), _lists([i.view(np.uint64) for i in at])]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "sig", "fp", "n", "s", "at"])
 
     return common.spread(rows).mapInArrow(run, f"node {NODE}, sig binary, fp bigint, n int, s array<bigint>, at array<bigint>")

@@ -46,7 +46,7 @@ STEMS, PRIOR, SURE = (3, 4, 5, 6), 8.0, 3.0
 DRIFT, E_MOST, THRESHOLD = 0.1, 0.01, 0.9
 HELD_OUT = 5
 #: Words whose scores a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _FIND = re.compile(r"[^\W_]+").findall
 

@@ -40,7 +40,7 @@ from vectrail.llm import common
 
 WINDOW, LITERALS, COVER = 8, 4, 0.5
 #: Bits in the table of benchmark hashes (two are set for each), and words remembered by a worker.
-BITS, REMEMBERED = 1 << 20, 600_000
+BITS, REMEMBERED = 1 << 20, 300_000
 #: Words that count as numbers, and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg ounce ounces pound pounds ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh watt watts volt volts".split())
@@ -138,7 +138,7 @@ def windows(texts: DataFrame, sizes: tuple[int, ...] | None = None, table=None)
         reader = Reader()
         for b in batches:
             ids, base = b.column(0).to_pylist(), 0
-            for part in common.texts(b.column(1)):
+            for part in common.texts(b.column(1), 1_000_000):
                 tokens, place, hashes, own, kinds, owner = reader.read(part)
                 counts = np.bincount(owner, minlength=len(part))
                 starts = np.cumsum(counts) - counts

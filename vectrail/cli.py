@@ -109,6 +109,13 @@ def probe(spark, a):
     marked = spark.createDataFrame([(x, r, n) for n, (x, r) in enumerate(marks)], "image_id string, relevant boolean, ordinal int")
     if a.classifier == "probabilistic":
         return feedback.by_probability(found, rows, search.vector_of(rows, a.image), marked)
+    if a.classifier == "PPR":
+        ranked, jump = feedback.by_pagerank(found, rows, marked, previous=spark.read.parquet(a.jump) if a.jump else None)
+        if a.jump_out:
+            jump.write.parquet(a.jump_out)
+        return ranked
+    if a.classifier not in ("SVM", "DT"):
+        raise SystemExit(f"probe takes DT, SVM, PPR or probabilistic, not {a.classifier}")
     return (feedback.by_svm if a.classifier == "SVM" else feedback.by_tree)(found, rows, marked)
 
 
@@ -121,7 +128,7 @@ _OPTIONS = {
     "folder": {}, "table": {}, "metadata": {}, "out": {}, "index": {}, "image": {}, "images": {}, "label": {"choices": list(labels.LABELS)}, "model": {"default": "HOG"}, "models": {"default": "CM,LBP,HOG"},
     "pattern": {"default": "*.jpg"}, "method": {"choices": METHODS}, "measure": {"default": "euclidean"}, "k": {"type": int, "default": 10}, "m": {"type": int, "default": 10}, "subject": {"type": int},
     "classifier": {"default": "DT", "choices": ["latent", "kmeans", "DT", "SVM", "PPR", "probabilistic"]}, "clusters": {"type": int, "default": 5}, "layers": {"type": int, "default": 10}, "hashes": {"type": int, "default": 10},
-    "seed": {"type": int, "default": 0}, "relevant": {"default": ""}, "irrelevant": {"default": ""}, "one-class": {"action": "store_true"},
+    "seed": {"type": int, "default": 0}, "relevant": {"default": ""}, "irrelevant": {"default": ""}, "jump": {"default": ""}, "jump-out": {"default": ""}, "one-class": {"action": "store_true"},
 }
 #: command: (function, options that must be given, further options)
 COMMANDS = {
@@ -135,7 +142,7 @@ COMMANDS = {
     "predict": (predict, "table metadata", "model classifier k clusters"),
     "dominant": (dominant, "table images", "model k m"),
     "index": (index, "table index", "model layers hashes seed"),
-    "probe": (probe, "table index image", "model m relevant irrelevant classifier"),
+    "probe": (probe, "table index image", "model m relevant irrelevant classifier jump jump-out"),
     "split": (split, "folder metadata out", ""),
 }
 

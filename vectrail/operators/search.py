@@ -64,13 +64,17 @@ def _blocks(rows: DataFrame, id_col: str, features: str, name: str, blocks: int)
 
     def pack(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
+        rows = 0
         for g in groups:
             for block, i, v in zip(g.column(0).to_pylist(), g.column(1).to_pylist(), g.column(2).to_pylist()):
                 ids, vs = held.setdefault(block, ([], []))
                 ids.append(i)
-                vs.append(v)
-                if len(ids) >= 2 * BLOCK:
-                    yield packed(block, *held.pop(block))
+                vs.append(np.asarray(v, dtype=np.float64))
+                rows += 1
+                if rows >= 2 * BLOCK:  # of all the blocks of a task; one that is open then goes on in another row
+                    for each, (ids, vs) in held.items():
+                        yield packed(each, ids, vs)
+                    held, rows = {}, 0
         for block, (ids, vs) in held.items():
             yield packed(block, ids, vs)
 
@@ -83,6 +87,36 @@ def _blocks(rows: DataFrame, id_col: str, features: str, name: str, blocks: int)
     return held.repartition("block").mapInArrow(pack, f"block int, {name}_ids array<{kind}>, {name}_raw binary")
 
 
+def _block_pairs(queries: DataFrame, corpus: DataFrame, id_col: str, features: str) -> DataFrame:
+    """q_ids, q_raw, c_ids, c_raw: every block of queries beside every block of the corpus."""
+    corpus_blocks = max(1, -(-corpus.count() // BLOCK))
+    query_blocks = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // BLOCK))
+    left = _blocks(queries, id_col, features, "q", query_blocks).select("q_ids", "q_raw", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("block"))
+    right = _blocks(corpus, id_col, features, "c", corpus_blocks)
+    return left.join(right, "block").select("q_ids", "q_raw", "c_ids", "c_raw")
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and vectors of both sides of each pair of blocks, the corpus by id."""
+    for b in batches:
+        for q_ids, q_raw, c_ids, c_raw in zip(*(b.column(n).to_pylist() for n in ("q_ids", "q_raw", "c_ids", "c_raw"))):
+            q, c = (np.frombuffer(raw, dtype=np.float64).reshape(len(ids), -1) for raw, ids in ((q_raw, q_ids), (c_raw, c_ids)))
+            order = np.argsort(c_ids, kind="stable")
+            yield q_ids, q, np.asarray(c_ids)[order], c[order]
+
+
+def distance_sums(queries: DataFrame, corpus: DataFrame, measure: str = "euclidean", id_col: str = "image_id", features: str = "features") -> DataFrame:
+    """src, total: the sum of the distances of each query to all rows of corpus. Each pair of blocks gives a row for a query, not one for a pair of rows."""
+    kind = "string" if corpus.schema[id_col].dataType.simpleString() == "string" else "bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q_ids, q, _, c in _matrices(batches):
+            for at in range(0, len(q), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at : at + 256]), pa.array(pairwise(q[at : at + 256], c, measure).sum(axis=1))], names=["src", "total"])
+
+    return _block_pairs(queries, corpus, id_col, features).mapInArrow(run, f"src {kind}, total double").groupBy("src").agg(F.sum("total").alias("total"))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, measure: str = "euclidean", id_col: str = "image_id", features: str = "features") -> DataFrame:
     """src, dst, distance, rank (from 1) for the k rows of corpus nearest to each query; a row finds itself too.
 
@@ -91,24 +125,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, measure: str = "euclidean
     """
     _, ascending = vectors.measure(measure)
     kind = "string" if corpus.schema[id_col].dataType.simpleString() == "string" else "bigint"
-    corpus_blocks = max(1, -(-corpus.count() // BLOCK))
-    query_blocks = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // BLOCK))
-    left = _blocks(queries, id_col, features, "q", query_blocks).select("q_ids", "q_raw", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("block"))
-    right = _blocks(corpus, id_col, features, "c", corpus_blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for q_ids, q_raw, c_ids, c_raw in zip(*(b.column(n).to_pylist() for n in ("q_ids", "q_raw", "c_ids", "c_raw"))):
-                q, c = (np.frombuffer(raw, dtype=np.float64).reshape(len(ids), -1) for raw, ids in ((q_raw, q_ids), (c_raw, c_ids)))
-                order = np.argsort(c_ids, kind="stable")
-                c, names = c[order], np.asarray(c_ids)[order]
-                for at in range(0, len(q), 256):
-                    d = pairwise(q[at : at + 256], c, measure)
-                    best = np.argsort(d if ascending else -d, axis=1, kind="stable")[:, :k]
-                    n = best.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[at : at + 256], n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(d, best, axis=1).ravel())], names=["src", "dst", "distance"])
-
-    pairs = left.join(right, "block").select("q_ids", "q_raw", "c_ids", "c_raw").mapInArrow(run, f"src {kind}, dst {kind}, distance double")
+        for q_ids, q, names, c in _matrices(batches):
+            for at in range(0, len(q), 256):
+                d = pairwise(q[at : at + 256], c, measure)
+                best = np.argsort(d if ascending else -d, axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[at : at + 256], n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(d, best, axis=1).ravel())], names=["src", "dst", "distance"])
+
+    pairs = _block_pairs(queries, corpus, id_col, features).mapInArrow(run, f"src {kind}, dst {kind}, distance double")
     order = F.col("distance").asc() if ascending else F.col("distance").desc()
     rank = F.row_number().over(Window.partitionBy("src").orderBy(order, "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from vectrail.functions import labels
 from vectrail.operators import classify, feedback
 from vectrail.plans import graph_queries
+from vectrail.plans.metadata_queries import CONDITIONS
 from vectrail.plans.sql import IMAGES, distances
 from vectrail.sources.embeddings import images
 
-CLUSTERS, STEPS, DEPTH = 3, 3, 8
+CLUSTERS, STEPS = 3, 6
 
 
 def _halves(spark, d):
@@ -36,12 +37,11 @@ def label_threshold_inference(spark, d):
 
 
 def label_grid(spark, d):
-    rows = images(spark, d).where("image_id < 120")
-    return classify.label_grid(rows, [3, 8], ["dorsal", "right-hand", "male", "with-accessories"])
+    return classify.label_grid(images(spark, d), [3, 8])
 
 
 def kmeans_assign(spark, d):
-    rows = images(spark, d).withColumn("features", F.slice("features", 1, DEPTH))
+    rows = images(spark, d)
     centroids = classify.kmeans(rows, CLUSTERS, STEPS, tolerance=-1.0)
     return classify.assign(rows, centroids).select("image_id", "cluster", F.round("distance", 6).alias("distance"))
 
@@ -58,7 +58,7 @@ def svd_project_classify(spark, d):
 
 def two_clusterings(spark, d):
     train, test = _halves(spark, d)
-    return classify.by_two_clusterings(train, test, CLUSTERS, k=4, iterations=5)
+    return classify.by_two_clusterings(train, test, CLUSTERS)
 
 
 def _trained(method):
@@ -122,22 +122,22 @@ def _kmeans_sql() -> str:
     for s in range(STEPS + 1):
         steps.append(f"a{s} AS (SELECT image_id, any_value(features) AS features, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT image_id, features, cluster, {_NEAR} AS d FROM rows, c{s}) GROUP BY 1)")
         if s < STEPS:
-            steps.append(f"m{s} AS (SELECT cluster, i, avg(features[i]) AS x FROM a{s}, (SELECT unnest(range(1, {DEPTH + 1})) AS i) GROUP BY 1, 2), c{s + 1} AS (SELECT cluster, list(x ORDER BY i) AS c FROM m{s} GROUP BY 1)")
-    return f"WITH {IMAGES}, rows AS (SELECT image_id, features[1:{DEPTH}] AS features FROM images), {', '.join(steps)} SELECT image_id, cluster, round(distance, 6) AS distance FROM a{STEPS}"
+            steps.append(f"m{s} AS (SELECT cluster, i, avg(features[i]) AS x FROM a{s}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c{s + 1} AS (SELECT cluster, list(x ORDER BY i) AS c FROM m{s} GROUP BY 1)")
+    return f"WITH {IMAGES}, rows AS (SELECT image_id, features FROM images), {', '.join(steps)} SELECT image_id, cluster, round(distance, 6) AS distance FROM a{STEPS}"
 
 
-def _verdict(asked: str, condition: str, query: int, where: str = "TRUE") -> str:
-    return f"""g AS (SELECT image_id, features FROM images WHERE {where} AND ({condition} OR image_id = {query})), n AS (SELECT count(*) - 1 AS n FROM g),
+def _verdict(asked: str, condition: str, query: int) -> str:
+    return f"""g AS (SELECT image_id, features FROM images WHERE {condition} OR image_id = {query}), n AS (SELECT count(*) - 1 AS n FROM g),
 m AS (SELECT a.image_id, sum({_PAIR}) / any_value(n) AS mean FROM g a, g b, n GROUP BY 1),
 v AS (SELECT max(mean) FILTER (image_id = {query}) AS distance, max(mean) AS threshold FROM m)"""
 
 
 def _grid_sql() -> str:
-    cases = {"dorsal": ("aspect_of_hand LIKE '%dorsal%'", "palmar"), "right-hand": ("aspect_of_hand LIKE '%right%'", "left-hand"), "male": ("gender = 'male'", "female"), "with-accessories": ("accessories = 1", "without-accessories")}
     parts = []
-    for asked, (condition, other) in cases.items():
+    for asked, condition in CONDITIONS.items():
+        other = labels.LABELS[asked][0]
         for q in (3, 8):
-            inner = f"(WITH {_verdict(asked, condition, q, 'image_id < 120')} SELECT CASE WHEN distance < threshold THEN '{asked}' ELSE '{other}' END FROM v)"
+            inner = f"(WITH {_verdict(asked, condition, q)} SELECT CASE WHEN distance < threshold THEN '{asked}' ELSE '{other}' END FROM v)"
             parts.append(f"SELECT CAST({q} AS BIGINT) AS query_id, '{asked}' AS asked, {inner} AS inferred, CASE WHEN {condition} THEN '{asked}' ELSE '{other}' END AS actual FROM images WHERE image_id = {q}")
     return f"WITH {IMAGES}, all_cases AS ({' UNION ALL '.join(parts)}) SELECT query_id, asked, inferred, inferred = actual AS correct FROM all_cases"
 

@@ -57,7 +57,7 @@ def latent_search(spark, d):
 
 def term_weights(spark, d):
     reduced, model = reduce.reduce(images(spark, d), "svd", 3)
-    return _rounded(reduce.term_weights(reduced, model).where("rank <= 20"), "weight")
+    return _rounded(reduce.term_weights(reduced, model), "weight")
 
 
 def feature_term_weights(spark, d):
@@ -91,7 +91,7 @@ def metadata_nmf(spark, d):
     names = [f"`{c}_{v}`" for c, vs in values.items() for v in vs]
     rows = hot.select("image_id", F.array(*[F.col(n).cast("double") for n in names]).alias("features"))
     reduced, _ = reduce.reduce(rows, "nmf", 3)
-    return _rounded(reduce.term_weights(reduced).where("rank <= 50"), "weight", 4)
+    return _rounded(reduce.term_weights(reduced), "weight", 4)
 
 
 def subject_nmf(spark, d):

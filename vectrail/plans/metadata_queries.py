@@ -27,7 +27,7 @@ def label_filters(spark, d):
 
 def label_maps(spark, d):
     """Opposite and type of each label, and the true label of rows for each type."""
-    rows = images(spark, d).where("image_id < 50")
+    rows = images(spark, d)
     asked = reduce(lambda a, b: a.unionByName(b), [rows.withColumn("label", F.lit(x)) for x in labels.LABELS])
     kind = labels.type_of(F.col("label"))
     truth = labels.true_label(kind, F.col("aspect_of_hand"), F.col("accessories"), F.col("gender"))
@@ -51,16 +51,16 @@ def missing_features(spark, d):
 
 
 def feature_upsert(spark, d):
-    """New values where keys match, new rows where they do not."""
-    parts = _table(spark, d, "part").where("p_partkey <= 60").select("p_partkey", F.col("p_size").cast("int").alias("size"))
-    new = _table(spark, d, "part").where("p_partkey between 41 and 80").select("p_partkey", (F.col("p_size") + 100).cast("int").alias("size"), F.lit(1).alias("batch"))
-    return store.upsert(parts, new, "p_partkey")
+    """New values where keys match, new rows where they do not: sizes of small parts, brought up to date by sales of all parts."""
+    parts = _table(spark, d, "part").where("p_size <= 25").select("p_partkey", F.col("p_size").cast("int").alias("size"))
+    sold = _table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_partkey").alias("p_partkey"))
+    return store.upsert(parts, sold.agg(F.max("l_quantity").cast("int").alias("size"), F.count("*").cast("int").alias("batch")), "p_partkey")
 
 
 def feature_delete(spark, d):
     """Rows whose keys are not in a list of removals."""
-    parts = _table(spark, d, "part").select("p_partkey", "p_brand")
-    return store.without(parts, parts.where("p_partkey % 3 = 0"), "p_partkey")
+    parts = _table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return store.without(parts, parts.where("p_size > 40").select("p_partkey"), "p_partkey").select("p_partkey", "p_brand")
 
 
 def window_moments(spark, d):
@@ -124,7 +124,7 @@ def column_ranges(spark, d):
 
 def rounded_values(spark, d):
     """Half-even rounding to three places."""
-    return images(spark, d).select("image_id", F.posexplode(F.slice("features", 1, 4)).alias("i", "x")).select("image_id", "i", F.bround(F.col("x").cast("decimal(20,10)"), 3).cast("double").alias("x"))
+    return images(spark, d).select("image_id", F.posexplode("features").alias("i", "x")).select("image_id", "i", F.bround(F.col("x").cast("decimal(20,10)"), 3).cast("double").alias("x"))
 
 
 def distinct_subjects(spark, d):
@@ -158,7 +158,7 @@ _NAMES = (
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
-_CONDITIONS = {
+CONDITIONS = {
     "left-hand": "aspect_of_hand LIKE '%left%'", "right-hand": "aspect_of_hand LIKE '%right%'", "dorsal": "aspect_of_hand LIKE '%dorsal%'", "palmar": "aspect_of_hand LIKE '%palmar%'",
     "with-accessories": "accessories = 1", "without-accessories": "accessories = 0", "male": "gender = 'male'", "female": "gender = 'female'",
 }
@@ -168,19 +168,20 @@ _P = lambda p: f"list_sum(list_transform(v, lambda x: pow(x - {_M}, {p}))) / len
 _EACH = "SELECT image_id, i - 1 AS i, features[i] AS x FROM images, (SELECT unnest(range(1, 65)) AS i)"
 
 ORACLES = {
-    "label_filters": f"WITH {IMAGES} " + " UNION ALL ".join(f"SELECT '{x}' AS label, CAST(count(*) AS BIGINT) AS n FROM images WHERE {c}" for x, c in _CONDITIONS.items()),
+    "label_filters": f"WITH {IMAGES} " + " UNION ALL ".join(f"SELECT '{x}' AS label, CAST(count(*) AS BIGINT) AS n FROM images WHERE {c}" for x, c in CONDITIONS.items()),
     "label_maps": f"""WITH {IMAGES}, l(label, opposite, kind) AS (VALUES {_LABELS})
 SELECT image_id, label, opposite, kind,
   CASE kind WHEN 'left-right' THEN split_part(aspect_of_hand, ' ', 2) || '-hand' WHEN 'side' THEN split_part(aspect_of_hand, ' ', 1)
     WHEN 'accessories' THEN CASE WHEN accessories = 1 THEN 'with-accessories' ELSE 'without-accessories' END ELSE gender END AS actual,
   CASE WHEN aspect_of_hand LIKE '%dorsal%' THEN 'dorsal' ELSE 'palmar' END AS side
-FROM images, l WHERE image_id < 50""",
+FROM images, l""",
     "metadata_semi_join": """SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""",
     "point_lookup": f"WITH {IMAGES} SELECT image_id, subject, round(features[1], 6) AS first FROM images WHERE image_id = 7",
     "missing_features": f"WITH {IMAGES} SELECT image_id FROM images WHERE subject % 2 <> 0",
-    "feature_upsert": """SELECT p_partkey, CASE WHEN p_partkey > 40 THEN p_size + 100 ELSE p_size END::INTEGER AS size, CASE WHEN p_partkey > 40 THEN 1 END AS batch FROM part WHERE p_partkey <= 80""",
-    "feature_delete": "SELECT p_partkey, p_brand FROM part WHERE p_partkey % 3 <> 0",
+    "feature_upsert": """WITH sold AS (SELECT l_partkey AS k, CAST(max(l_quantity) AS INTEGER) AS size, CAST(count(*) AS INTEGER) AS batch FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+SELECT coalesce(p_partkey, k) AS p_partkey, CAST(coalesce(sold.size, p_size) AS INTEGER) AS size, batch FROM (SELECT p_partkey, p_size FROM part WHERE p_size <= 25) FULL JOIN sold ON p_partkey = k""",
+    "feature_delete": "SELECT p_partkey, p_brand FROM part WHERE p_size <= 40",
     "window_moments": f"""WITH {IMAGES}, w AS (SELECT image_id, CAST(n AS INTEGER) AS "window", features[n * {WIDTH} + 1:n * {WIDTH} + {WIDTH}] AS v FROM images, (SELECT unnest(range(0, {64 // WIDTH})) AS n))
 SELECT image_id, "window", round({_M}, 6) AS mean, round(sqrt({_P(2)}), 6) AS std, round(CASE WHEN {_P(2)} = 0 THEN 0 ELSE ({_P(3)}) / pow({_P(2)}, 1.5) END, 6) AS skew FROM w""",
     "group_moments": """WITH m AS (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS mu FROM lineitem GROUP BY 1, 2),
@@ -199,10 +200,10 @@ SELECT conv_id, array_to_string(p[1:least], ',') AS features FROM s, m""",
     "base_names": r"SELECT page_id, split_part(url, '/', -1) AS base, regexp_extract(url, '^\w+://([^/]+)', 1) AS host FROM pages",
     "mean_vector": f"WITH {IMAGES} SELECT CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM ({_EACH}) GROUP BY 1",
     "column_ranges": f"WITH {IMAGES} SELECT CAST(i AS INTEGER) AS i, round(min(x), 6) AS low, round(max(x), 6) AS high FROM ({_EACH}) GROUP BY 1",
-    "rounded_values": f"WITH {IMAGES} SELECT image_id, CAST(i AS INTEGER) AS i, CAST(round_even(CAST(x AS DECIMAL(20,10)), 3) AS DOUBLE) AS x FROM ({_EACH}) WHERE i < 4",
+    "rounded_values": f"WITH {IMAGES} SELECT image_id, CAST(i AS INTEGER) AS i, CAST(round_even(CAST(x AS DECIMAL(20,10)), 3) AS DOUBLE) AS x FROM ({_EACH})",
     "distinct_subjects": f"WITH {IMAGES} SELECT DISTINCT subject FROM images",
     "counts": f"WITH {IMAGES} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (aspect_of_hand LIKE '%dorsal%') AS BIGINT) AS dorsal, CAST(count(DISTINCT subject) AS BIGINT) AS subjects FROM images",
     "value_counts": "SELECT quality, toxic, CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY 1, 2",
-    "union_classes": f"WITH {IMAGES} SELECT image_id, 'dorsal' AS actual FROM images WHERE {_CONDITIONS['dorsal']} UNION ALL SELECT image_id, 'palmar' FROM images WHERE {_CONDITIONS['palmar']}",
+    "union_classes": f"WITH {IMAGES} SELECT image_id, 'dorsal' AS actual FROM images WHERE {CONDITIONS['dorsal']} UNION ALL SELECT image_id, 'palmar' FROM images WHERE {CONDITIONS['palmar']}",
     "ordered_fetch": f"WITH {IMAGES}, k(place, key) AS (VALUES (0, 31), (1, 4), (2, 159), (3, 26), (4, 5)) SELECT CAST(place AS INTEGER) AS place, image_id, round(features[2], 6) AS second FROM images JOIN k ON image_id = key",
 }

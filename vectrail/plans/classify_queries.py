@@ -8,7 +8,7 @@ from vectrail.functions import labels
 from vectrail.operators import classify, feedback
 from vectrail.plans import graph_queries
 from vectrail.plans.metadata_queries import CONDITIONS
-from vectrail.plans.sql import IMAGES, distances
+from vectrail.plans.sql import IMAGES, distances, latent_axes, latent_scores
 from vectrail.sources.embeddings import images
 
 CLUSTERS, STEPS = 3, 6
@@ -142,7 +142,18 @@ def _grid_sql() -> str:
     return f"WITH {IMAGES}, all_cases AS ({' UNION ALL '.join(parts)}) SELECT query_id, asked, inferred, inferred = actual AS correct FROM all_cases"
 
 
+def _projection_sql(k: int) -> str:
+    sides, parts = ("dorsal", "palmar"), []
+    for side in sides:
+        parts += [f"t_{side} AS (SELECT * FROM images WHERE image_id % 4 <> 0 AND aspect_of_hand LIKE '%{side}%')", latent_axes(f"t_{side}", k, side)]
+        parts.append(f"m_{side} AS (SELECT image_id, avg(weight) AS m FROM ({latent_scores('cells', side)}) GROUP BY 1)")
+    cells = "cells AS MATERIALIZED (SELECT image_id, i, features[i] AS x FROM images, (SELECT unnest(range(1, 65)) AS i) WHERE image_id % 4 = 0)"
+    return f"WITH {IMAGES}, {cells}, {', '.join(parts)} SELECT image_id, CASE WHEN d.m < p.m THEN 'dorsal' ELSE 'palmar' END AS predicted FROM m_dorsal d JOIN m_palmar p USING (image_id)"
+
+
 ORACLES = {
+    "svd_project_classify": _projection_sql(4),
+    "ppr_train_classify": graph_queries.classified_sql(4),
     "accuracy_report": "SELECT round(100.0 * avg(CAST(CAST(n_chars > 1000 AS INTEGER) = quality AS INTEGER)), 6) AS accuracy FROM documents JOIN labels USING (doc_id)",
     "label_threshold_inference": f"""WITH {IMAGES}, {_verdict('palmar', "aspect_of_hand LIKE '%palmar%'", 3)}
 SELECT round(distance, 6) AS distance, round(threshold, 6) AS threshold, round(100 / distance, 5) AS similarity, CASE WHEN distance < threshold THEN 'palmar' ELSE 'dorsal' END AS label FROM v""",

@@ -123,15 +123,22 @@ v AS (SELECT subject, list(x ORDER BY i) AS features FROM m GROUP BY 1)"""
 _INVERSE = lambda d: f"CASE WHEN {d} = 0 THEN 100 ELSE 100 / {d} END"
 _PAIR = distances("a.features", "b.features")["euclidean"]
 
+
+
+def classified_sql(every: int) -> str:
+    """Predictions for the rows whose id is a multiple of every, from the others."""
+    return f"""WITH RECURSIVE {IMAGES}, {knn_edges('manhattan', _CLASS_K)}, jd AS {_SEEDS('dorsal', f'image_id % {every} <> 0')}, jp AS {_SEEDS('palmar', f'image_id % {every} <> 0')},
+{pagerank(_CLASS_K, 'jd', 'pd')}, {pagerank(_CLASS_K, 'jp', 'pp')}
+SELECT pd.node AS image_id, CASE WHEN pd.p > pp.p THEN 'dorsal' WHEN pd.p < pp.p THEN 'palmar' ELSE 'unknown' END AS predicted FROM pd JOIN pp ON pd.node = pp.node WHERE pd.step = 60 AND pp.step = 60 AND pd.node % {every} = 0"""
+
+
 ORACLES = {
     **{f"knn_graph_{m}": f"WITH {IMAGES}, {knn_edges(m, K)} SELECT src, dst, round(distance, {PLACES}) AS distance, rank FROM edges" for m in ("euclidean", "manhattan", "cosine", "minkowski3")},
     "ppr_seed_vector": f"WITH {IMAGES} SELECT node, round(mass, 9) AS mass FROM {_SEEDS('dorsal')}",
     "ppr_scores": f"WITH RECURSIVE {IMAGES}, {knn_edges('euclidean', PPR_K)}, jump AS {_SEEDS('palmar')}, {pagerank(PPR_K, 'jump')} SELECT node, round(p, 9) AS pagerank FROM pr WHERE step = 60",
     "ppr_dominant": f"""WITH RECURSIVE {IMAGES}, {knn_edges('euclidean', PPR_K)}, jump AS (SELECT image_id AS node, CASE WHEN image_id IN ({', '.join(map(str, SEEDS))}) THEN 1.0::DOUBLE / {len(SEEDS)} ELSE 0 END AS mass FROM images), {pagerank(PPR_K, 'jump')}
 SELECT node, round(p, 9) AS pagerank FROM pr WHERE step = 60 ORDER BY p DESC, node LIMIT {TOP}""",
-    "ppr_classify": f"""WITH RECURSIVE {IMAGES}, {knn_edges('manhattan', _CLASS_K)}, jd AS {_SEEDS('dorsal', 'image_id % 10 <> 0')}, jp AS {_SEEDS('palmar', 'image_id % 10 <> 0')},
-{pagerank(_CLASS_K, 'jd', 'pd')}, {pagerank(_CLASS_K, 'jp', 'pp')}
-SELECT pd.node AS image_id, CASE WHEN pd.p > pp.p THEN 'dorsal' WHEN pd.p < pp.p THEN 'palmar' ELSE 'unknown' END AS predicted FROM pd JOIN pp ON pd.node = pp.node WHERE pd.step = 60 AND pp.step = 60 AND pd.node % 10 = 0""",
+    "ppr_classify": classified_sql(10),
     "ppr_feedback": f"""WITH RECURSIVE {IMAGES}, {_RESULTS}, {knn_edges('euclidean', 5, 'results')},
 raw AS (SELECT r.image_id AS node, 1.0::DOUBLE / 20 + CASE WHEN m.ordinal <= 3 THEN 1 WHEN m.ordinal <= 5 THEN -1 ELSE 0 END AS x FROM results r LEFT JOIN marked m ON m.image_id = r.image_id),
 jump AS (SELECT node, x / (SELECT sum(x) FROM raw) AS mass FROM raw), {pagerank(5, 'jump')} SELECT node AS image_id, round(p, 9) AS pagerank FROM pr WHERE step = 60""",

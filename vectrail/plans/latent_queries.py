@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import features, labels
 from vectrail.operators import reduce, search, subjects
-from vectrail.plans.sql import IMAGES
+from vectrail.plans.sql import IMAGES, latent_axes, latent_scores
 from vectrail.sources.embeddings import images
 
 K = 5
@@ -119,7 +119,23 @@ _NAMES = (
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
+_LEFT, _RIGHT = ("SELECT * FROM images WHERE aspect_of_hand LIKE '%left%'", "SELECT * FROM images WHERE aspect_of_hand LIKE '%right%'")
+_SVD = lambda k: f"WITH {IMAGES}, {latent_axes('images', k)}, scores AS ({latent_scores('ax_x')})"
+_WEIGHTS = "SELECT image_id, component, round(weight, 5) AS weight FROM scores"
+
 ORACLES = {
+    "svd_latent": f"{_SVD(K)} {_WEIGHTS}",
+    "svd_fold_in": f"""WITH {IMAGES}, held AS ({_LEFT}), {latent_axes('held', K)}, cells AS (SELECT image_id, i, features[i] AS x FROM ({_RIGHT}), (SELECT unnest(range(1, 65)) AS i)),
+scores AS ({latent_scores('cells')}) {_WEIGHTS}""",
+    "pca_scores": f"WITH {IMAGES}, {latent_axes('images', K, centred=True)}, scores AS ({latent_scores('ax_x')}) {_WEIGHTS}",
+    "latent_search": f"""WITH {IMAGES}, held AS (SELECT * FROM images WHERE aspect_of_hand LIKE '%dorsal%'), {latent_axes('held', 10, centred=True)}, scores AS ({latent_scores('ax_x')}),
+q AS (SELECT component, weight AS asked FROM scores WHERE image_id = (SELECT min(image_id) FROM held))
+SELECT image_id, round(sqrt(sum((weight - asked) * (weight - asked))), 5) AS score FROM scores JOIN q USING (component) WHERE image_id <> (SELECT min(image_id) FROM held) GROUP BY 1 ORDER BY sqrt(sum((weight - asked) * (weight - asked))), image_id LIMIT 10""",
+    "term_weights": f"{_SVD(3)} SELECT component, image_id, round(weight / strength, 5) AS weight, CAST(row_number() OVER (PARTITION BY component ORDER BY weight / strength DESC, image_id) AS INTEGER) AS rank FROM scores",
+    "feature_term_weights": f"WITH {IMAGES}, {latent_axes('images', 3)} SELECT component, CAST(i - 1 AS INTEGER) AS feature_idx, round(w, 5) AS weight, CAST(row_number() OVER (PARTITION BY component ORDER BY w DESC, i) AS INTEGER) AS rank FROM ax",
+    "top_latent_images": f"""{_SVD(3)}, r AS (SELECT component, image_id, CAST(round_even(CAST(weight AS DECIMAL(20, 12)), 3) AS DOUBLE) AS weight FROM scores)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY component ORDER BY weight DESC, image_id DESC) AS INTEGER) AS rank FROM r) WHERE rank <= 7""",
+    "best_latent_image": f"{_SVD(K)} SELECT component, arg_max(image_id, (weight, image_id)) AS image_id, round(max(weight), 5) AS weight FROM scores GROUP BY 1",
     "svd_energy": f"WITH {IMAGES} SELECT round(sum(list_sum(list_transform(features, lambda x: x * x))), 4) AS energy FROM images",
     "pca_variance": f"WITH {IMAGES}, v AS (SELECT i, var_samp(features[i]) AS v FROM images, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1) SELECT round(sum(v), 6) AS variance FROM v",
     "lda_topics": f"WITH {IMAGES} SELECT image_id, 3 AS topics, 1.0::DOUBLE AS total FROM images",

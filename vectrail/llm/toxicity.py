@@ -45,8 +45,8 @@ TRAIN_DOCS = 20_000
 STEMS, PRIOR, SURE = (3, 4, 5, 6), 8.0, 3.0
 DRIFT, E_MOST, THRESHOLD = 0.1, 0.01, 0.9
 HELD_OUT = 5
-#: Words whose scores a worker remembers.
-REMEMBERED = 200_000
+#: Words whose scores a worker remembers, and parts that the sample's vocabulary is dealt into.
+REMEMBERED, PARTS = 200_000, 64
 
 _FIND = re.compile(r"[^\W_]+").findall
 
@@ -266,10 +266,10 @@ def learned(words: DataFrame, bases: list[float]) -> list[dict[str, float]]:
     long, n = words.where(F.length("w") > min(STEMS)), min(STEMS)
     stems: list[dict[str, float]] = [{}, {}, {}]
     for key, parts in ((F.substring("w", 1, n), beginnings), (F.right("w", F.lit(n)), endings)):
-        for r in found_in(long.repartition(key), lambda rows, m, parts=parts: stem_odds(rows, bases[m], parts)):
+        for r in found_in(long.repartition(PARTS, key), lambda rows, m, parts=parts: stem_odds(rows, bases[m], parts)):
             stems[r.m][r.f] = r.odds
     known = [dict(x) for x in stems]
-    for r in found_in(words, lambda rows, m: word_odds(rows, stems[m], bases[m])):
+    for r in found_in(words.repartition(PARTS, "w"), lambda rows, m: word_odds(rows, stems[m], bases[m])):
         known[r.m][r.f] = r.odds
     return known
 

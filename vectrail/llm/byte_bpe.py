@@ -22,12 +22,13 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from vectrail.llm import common
 
 #: Matches kept in a worker's table, and the longest kept; beyond the count the table starts anew.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 40
 #: A space between white space, or between white space and the end.
 WIDE_SPACE = re.compile(r"\s (?:\s|\Z)").search
 
@@ -201,7 +202,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     back.append(sha(codec(path).decode(x)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_path() -> str:

@@ -175,7 +175,7 @@ def windows(texts: DataFrame, sizes: tuple[int, ...] | None = None, table=None)
                     kinds_ = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names=["id", "words", "size", "at", "hash", "very", "fills"])
 
-    return common.spread(texts.select("id", "text")).mapInArrow(run, SCHEMA)
+    return common.spread(texts.select("id", "text")).mapInArrow(lambda x: common.giving_back(run(x)), SCHEMA)
 
 
 def judged(shared: list[dict], words: int) -> tuple[float, bool]:

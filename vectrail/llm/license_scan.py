@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vectrail.llm import common
 
@@ -198,7 +199,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     spans.append([dict(zip(("label", "first", "last", "covered"), s)) for s in covered])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(places, place), pa.array(spans, span)], names=["doc_id", "n_words", "places", "spans"])
 
-    return common.spread(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA)
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, SCHEMA)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

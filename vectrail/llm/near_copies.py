@@ -74,7 +74,7 @@ def sets(rows: DataFrame) -> DataFrame:
         for part, texts in (x for b in batches for x in common.parts(b, 1)):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t) for t in texts])], names=["node", "s"])
 
-    return common.spread(rows).mapInArrow(run, f"node {NODE}, s array<bigint>")
+    return common.spread(rows).mapInArrow(lambda x: common.giving_back(run(x)), f"node {NODE}, s array<bigint>")
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def shared_keys(rows: DataFrame, prefix) -> np.ndarray:
             found = [prefix.value.of(shingles(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64))], names=["key"])
 
-    keys = common.spread(rows).mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = common.spread(rows).mapInArrow(lambda x: common.giving_back(run(x)), "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     path = common.written(keys, "near-shared")
     keys = common.reread(spark, path)
     size = 1 << 16
@@ -147,7 +147,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
             columns = [part.column(0), sig, fp, pa.array([len(s) for s in each], pa.int32()), _lists([s[i] for s, i in zip(first, at)]), _lists([i.view(np.uint64) for i in at])]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "sig", "fp", "n", "s", "at"])
 
-    return common.spread(rows).mapInArrow(run, f"node {NODE}, sig binary, fp bigint, n int, s array<bigint>, at array<bigint>")
+    return common.spread(rows).mapInArrow(lambda x: common.giving_back(run(x)), f"node {NODE}, sig binary, fp bigint, n int, s array<bigint>, at array<bigint>")
 
 
 def _can_match(x: str, y: str) -> Column:

@@ -237,7 +237,7 @@ def counted(sample: DataFrame) -> DataFrame:
                     side = pa.array(np.full(len(part), 1 << (2 * toxic + half), dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.string()), pa.array(h), side], names=["w", "h", "side"])
 
-    each = sample.select("text", "toxic", "half").mapInArrow(run, "w string, h bigint, side int").groupBy("w", "h").agg(F.bit_or("side").alias("sides"))
+    each = sample.select("text", "toxic", "half").mapInArrow(lambda x: common.giving_back(run(x)), "w string, h bigint, side int").groupBy("w", "h").agg(F.bit_or("side").alias("sides"))
     held = {name: F.sum((F.col("sides").bitwiseAND(mask) != 0).cast("bigint")) for name, mask in zip(COUNTS, (1, 2, 4, 8, 3, 12))}
     return each.groupBy("w").agg(*(held[c].alias(c) for c in COUNTS))
 
@@ -261,7 +261,7 @@ def learned(words: DataFrame, bases: list[float]) -> list[dict[str, float]]:
                 found = find(rows[m], m)
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["m", "f", "odds"])
 
-        return parts.mapInArrow(run, "m int, f string, odds double").collect()  # what is sure in the bounded sample
+        return parts.mapInArrow(lambda x: common.giving_back(run(x)), "m int, f string, odds double").collect()  # what is sure in the bounded sample
 
     long, n = words.where(F.length("w") > min(STEMS)), min(STEMS)
     stems: list[dict[str, float]] = [{}, {}, {}]
@@ -360,8 +360,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(chance)
                 spans.append([dict(zip(("first", "last", "score", "expected"), p)) for p in found])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "passages"])
+        m.scores.clear()
 
-    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda x: common.giving_back(run(x)), "doc_id bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,expected:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -371,8 +372,9 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([held.value.judged(t.as_py() or "")[0] < 0.5 for t in b.column("text")], pa.bool_()))
+        held.value.scores.clear()
 
-    return common.spread(docs).mapInArrow(run, docs.schema)
+    return common.spread(docs).mapInArrow(lambda x: common.giving_back(run(x)), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,9 +67,9 @@ def with_keys(lines: DataFrame) -> DataFrame:
     numbers, so the generated code stays small enough to be compiled."""
     params = lambda least: F.array(*[F.struct(*(F.lit(x).alias(n) for n, x in zip(("edits", "i", "less", "move"), p))) for p in _places() if p[0] >= least])
     whole = F.col("n_chars") >= CHARS * EDITS + EDITS  # with any fewer characters EDITS are allowed as well
-    rows = lines.withColumn("p", F.explode(F.when(whole, params(EDITS)).otherwise(params(1)))).withColumn("m", F.col("n_chars") - F.col("p.less")).where(allowed(F.col("m")) == F.col("p.edits"))
+    rows = lines.withColumn("p", F.explode(F.when(whole, params(EDITS)).otherwise(params(1)))).withColumn("m", F.col("n_chars") - F.col("p.less")).where(whole | (allowed(F.col("m")) == F.col("p.edits")))
     parts, i = F.col("p.edits") + 1, F.col("p.i")
-    base, extra = F.floor(F.col("m") / parts).cast("int"), F.col("m") % parts  # later segments take the remainder
+    base, extra = F.call_function("div", F.col("m"), parts).cast("int"), F.col("m") % parts  # later segments take the remainder
     start = i * base + F.greatest(F.lit(0), i - (parts - extra)) + 1 + F.col("p.move")
     size = base + (i >= parts - extra).cast("int")
     key = F.xxhash64(F.substring(F.col("line"), start, size), i, F.col("m"))

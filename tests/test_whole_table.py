@@ -28,7 +28,7 @@ def test_training_and_test_rows_hold_whole_vectors(spark):
     assert {r.image_id: r.features for r in train.unionByName(test).collect()} == whole
 
 
-@pytest.mark.parametrize("name", ["classifier_accuracy", "tree_training_accuracy"])
+@pytest.mark.parametrize("name", ["classifier_accuracy", "tree_training_accuracy", "tree_classify"])
 def test_plans_do_not_grow_with_the_model(spark, name):
     """A tree in the plan took more than the driver's memory at 1 GB."""
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().analyzed().toString()

@@ -162,6 +162,25 @@ def test_one_class_machine(spark, x):
     assert signs[60] < 0 and sum(signs[i] < -1e-9 for i in range(60)) <= 7
 
 
+def violated(g, low, high):
+    """By how much a gradient of a one-class machine violates the conditions of an optimum."""
+    return g[~low].max() - g[~high].min()
+
+
+@pytest.mark.parametrize(("rows", "gamma"), [(5_200, 0.001), (700, 0.001), (700, 0.05)])
+def test_one_class_machines_of_any_size(spark, monkeypatch, rows, gamma):
+    """Even gradients and bounds that hold, by the series, by the whole matrix and by the descent."""
+    monkeypatch.setattr(classify, "DENSE_ROWS", 699 if gamma == 0.001 else 700)
+    z = np.random.default_rng(1).normal(size=(rows, 5)) + ([0] * 5 if rows > 700 else [2, 0, 0, 0, 0])
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    model = classify.fit_one_class(frame(spark, z), gamma=gamma)
+    upper, weight = 1 / (0.08 * rows), {tuple(v): w for v, w in zip(model.vectors.tolist(), model.weights)}
+    a = np.array([weight.get(tuple(v), 0.0) for v in z.tolist()])
+    g = np.exp(-gamma * ((z[:, None, :] - z[None]) ** 2).sum(axis=2)) @ a if rows < 1000 else classify.Kernel(z, gamma, True).sums(z, a)
+    assert a.sum() == pytest.approx(1) and a.min() >= 0 and a.max() <= upper * (1 + 1e-9)
+    assert violated(g, a <= 1e-12, a >= upper - 1e-12) < 2e-9
+
+
 def test_svm_of_more_rows_than_a_matrix_holds(spark):
     z = np.random.default_rng(2).normal(size=(5_200, 2))
     y = np.where(z[:, 0] + np.random.default_rng(3).normal(size=5_200) > 0, 1.0, -1.0)

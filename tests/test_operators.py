@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from vectrail.functions import features, labels, vectors
@@ -131,6 +132,17 @@ def test_deep_trees_fit_their_rows(spark):
     assert {r.image_id: r.predicted for r in classify.predict_tree(df, tree).collect()} == dict(enumerate(y))
 
 
+def test_plans_do_not_grow_with_a_trees_levels(spark, monkeypatch):
+    """Nodes that end at different levels were a join each in the plan of the fit."""
+    tables = []
+    fit = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: tables.append(self._df._jdf.queryExecution().analyzed().collectLeaves().size()) or fit(self, *a))
+    y = [i % 2 for i in range(24)]
+    df = frame(spark, [[i] for i in range(24)], target=y)
+    assert classify.fit_tree(df, small=18) == classify.fit_tree(df)
+    assert tables == [1, 1]
+
+
 def test_trees_take_rows_with_missing_numbers(spark, x):
     df = frame(spark, x, target=[int(a[0] > 0) for a in x])
     tree = classify.fit_tree(df.unionByName(spark.createDataFrame([(99, None, 1)], "image_id bigint, features array<double>, target int")))

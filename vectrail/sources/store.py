@@ -22,9 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """df from a table in the shared folder, so that iterations do not grow its plan."""
-    path = f"{shared_dir(df.sparkSession)}/vectrail/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(appended(df, name))
+
+
+def appended(df: DataFrame, name: str, path: str | None = None) -> str:
+    """Path of a table in the shared folder to which the rows of df are added; without a path it is new."""
+    path = path or f"{shared_dir(df.sparkSession)}/vectrail/{name}-{uuid.uuid4().hex}"
+    df.write.mode("append").parquet(path)
+    return path
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str, insert: bool = True) -> DataFrame:

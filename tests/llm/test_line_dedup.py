@@ -120,3 +120,13 @@ def test_versions_of_one_line(spark):
     docs = list(enumerate(sorted(lines)))
     got = d.classes(frame(spark, docs)).collect()
     assert {((r.doc_id, r.line_no), (r.class_doc_id, r.class_line_no), r.n_links, r.keep) for r in got} == slow(docs)
+
+
+def test_each_key_is_worked_out_once(spark, monkeypatch):
+    """The filter by shared keys computed the key of a place twice, and its row once more; substrings walked through the line's characters."""
+    plans, stored = {}, d.common.stored
+    monkeypatch.setattr(d.common, "stored", lambda df, what: plans.update({what: df._jdf.queryExecution().optimizedPlan().toString()}) or stored(df, what))
+    docs = spark.createDataFrame([(1, "eine Zeile mit Wörtern\nund noch eine"), (2, "eine Zeile mit Worten")], "doc_id bigint, text string")
+    d.links(d.lines_of(docs)).collect()
+    found = plans["live-lines"]
+    assert found.count("xxhash64(substring(") == 1 and "xxhash64(substring(line" not in found

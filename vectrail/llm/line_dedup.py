@@ -64,15 +64,17 @@ def _places() -> list[tuple[int, int, int, int]]:
 def with_keys(lines: DataFrame) -> DataFrame:
     """lines with key and own, a row for each place: keys of the line's own segments (own) and of the substrings that
     may be a segment of a line with fewer characters. A constant list is exploded and the key computed from its
-    numbers, so the generated code stays small enough to be compiled."""
+    numbers, so the generated code stays small enough to be compiled. Substrings are taken from characters of four
+    bytes, whose places need no count of the characters before them."""
     params = lambda least: F.array(*[F.struct(*(F.lit(x).alias(n) for n, x in zip(("edits", "i", "less", "move"), p))) for p in _places() if p[0] >= least])
     whole = F.col("n_chars") >= CHARS * EDITS + EDITS  # with any fewer characters EDITS are allowed as well
-    rows = lines.withColumn("p", F.explode(F.when(whole, params(EDITS)).otherwise(params(1)))).withColumn("m", F.col("n_chars") - F.col("p.less")).where(whole | (allowed(F.col("m")) == F.col("p.edits")))
+    wide = common.unused(lines, "wide")
+    rows = lines.withColumn(wide, F.encode("line", "UTF-32")).withColumn("p", F.explode(F.when(whole, params(EDITS)).otherwise(params(1)))).withColumn("m", F.col("n_chars") - F.col("p.less")).where(whole | (allowed(F.col("m")) == F.col("p.edits")))
     parts, i = F.col("p.edits") + 1, F.col("p.i")
     base, extra = F.call_function("div", F.col("m"), parts).cast("int"), F.col("m") % parts  # later segments take the remainder
     start = i * base + F.greatest(F.lit(0), i - (parts - extra)) + 1 + F.col("p.move")
     size = base + (i >= parts - extra).cast("int")
-    key = F.xxhash64(F.substring(F.col("line"), start, size), i, F.col("m"))
+    key = F.xxhash64(F.substring(F.col(wide), 4 * start - 3, 4 * size), i, F.col("m"))
     return rows.select(*lines.columns, key.alias("key"), ((F.col("p.less") == 0) & (F.col("p.move") == 0)).alias("own"))
 
 
@@ -171,7 +173,8 @@ def links(lines: DataFrame) -> DataFrame:
     bits = shared_bits(long).select("t").scalar()
     word, bit = _bit(F.col("key"))
     held = F.call_function("shiftrightunsigned", F.get(bits, word), bit).bitwiseAND(F.lit(1)) == 1
-    live = with_keys(long.select("k", "line", "n_chars")).where(held)
+    each = with_keys(long.select("k", "line", "n_chars")).withColumn("key", F.explode(F.array("key")))  # else the filter works out a key for each use
+    live = each.where(held)
     live = live.groupBy("k").agg(F.first("line").alias("line"), F.first("n_chars").alias("n"), F.collect_set(F.struct("key", "own")).alias("keys"))
     live = common.stored(live.withColumn("sig", signature(F.col("line"))), "live-lines")
     rows = live.select("k", "n", "sig", F.explode("keys").alias("x")).select("k", "n", "sig", "x.key", "x.own")
